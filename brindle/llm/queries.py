@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.llm.html_text import op8_html
 from brindle.llm.packing import op3_packing
 from brindle.llm.sharding import op1_sharding
+from brindle.llm.simhash import op4_simhash
+from brindle.llm.transport_stream import op7_transport_stream
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op3_packing": op3_packing,
+        "op4_simhash": op4_simhash,
+        "op7_transport_stream": op7_transport_stream,
+        "op8_html": op8_html,
     }
 
 
