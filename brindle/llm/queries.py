@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.llm.decontaminate import op10_decontaminate
 from brindle.llm.html_text import op8_html
 from brindle.llm.packing import op3_packing
+from brindle.llm.quality import op5_quality
 from brindle.llm.sharding import op1_sharding
 from brindle.llm.simhash import op4_simhash
+from brindle.llm.substring import op6_substring
 from brindle.llm.transport_stream import op7_transport_stream
 
 
@@ -18,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op3_packing": op3_packing,
         "op4_simhash": op4_simhash,
+        "op5_quality": op5_quality,
+        "op6_substring": op6_substring,
         "op7_transport_stream": op7_transport_stream,
         "op8_html": op8_html,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
