@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.decontaminate import op10_decontaminate
 from brindle.llm.html_text import op8_html
+from brindle.llm.line_dedup import op9_line_dedup
 from brindle.llm.packing import op3_packing
 from brindle.llm.quality import op5_quality
 from brindle.llm.sharding import op1_sharding
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_substring": op6_substring,
         "op7_transport_stream": op7_transport_stream,
         "op8_html": op8_html,
+        "op9_line_dedup": op9_line_dedup,
         "op10_decontaminate": op10_decontaminate,
     }
 
