@@ -10,6 +10,7 @@ from brindle.llm.decontaminate import op10_decontaminate
 from brindle.llm.html_text import op8_html
 from brindle.llm.line_dedup import op9_line_dedup
 from brindle.llm.packing import op3_packing
+from brindle.llm.pii import op2_pii
 from brindle.llm.quality import op5_quality
 from brindle.llm.sharding import op1_sharding
 from brindle.llm.simhash import op4_simhash
@@ -20,6 +21,7 @@ from brindle.llm.transport_stream import op7_transport_stream
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_pii": op2_pii,
         "op3_packing": op3_packing,
         "op4_simhash": op4_simhash,
         "op5_quality": op5_quality,
