@@ -234,3 +234,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, radius
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(spark, read_table(spark, sf_dir, "documents"), words=4, radius=4)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(spark: SparkSession, docs: DataFrame, words: int, radius: int) -> DataFrame:
+    """One row of docs for each component, that with the smallest doc_id."""
+    rows = near_duplicates(spark, docs, words, radius).select("doc_id", "component_id").distinct()
+    heads = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
+    unique = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return kept if unique else kept.dropDuplicates(["doc_id"])
