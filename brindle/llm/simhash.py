@@ -39,6 +39,8 @@ SEED = 42
 DENSE = 16
 #: A bucket of more fingerprints, after that, is split on the remaining bits.
 LARGE = 256
+#: What a probe costs, in pairs to verify: a row that is shuffled against a comparison.
+PROBE_COST = 25
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -141,8 +143,8 @@ def plan(spark: SparkSession, fps: DataFrame, radius: int) -> tuple[list[list[in
     p = both.diagonal() / max(1, n)
 
     def costs(groups: list[list[int]], equal: list[float]) -> list[list[float]]:
-        """Pairs to verify and values to probe; a probe is worth two pairs."""
-        return [[0.0, *(e * g + 2 * n * sum(comb(len(group), k) for k in range(t + 1)) for t, g in enumerate(growth(p, group, radius)))] for group, e in zip(groups, equal, strict=True)]
+        """Pairs to verify and values to probe."""
+        return [[0.0, *(e * g + PROBE_COST * n * sum(comb(len(group), k) for k in range(t + 1)) for t, g in enumerate(growth(p, group, radius)))] for group, e in zip(groups, equal, strict=True)]
 
     def guess(groups: list[list[int]]) -> list[float]:
         return [n * n / 2 * float(np.prod(p[g] ** 2 + (1 - p[g]) ** 2)) for g in groups]
