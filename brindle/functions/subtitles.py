@@ -90,12 +90,13 @@ def in_section(lines: DataFrame, section: str = "[Events]") -> Column:
     return F.coalesce(F.col("ord") > at, F.lit(True))
 
 
-def with_header(header: DataFrame, lines: DataFrame) -> DataFrame:
+def with_header(header: list[str], lines: DataFrame) -> DataFrame:
     """(file, ord, line): the header's lines, then those after the first Format or [Events] line; all if there is none."""
     first = lambda mark: F.min(F.when(F.startswith(F.trim("line"), F.lit(mark)), F.col("ord"))).over(Window.partitionBy("file"))
     tail = lines.withColumn("at", F.coalesce(first("Format:"), first("[Events]"), F.lit(-1))).where("ord > at").select("file", (F.col("ord") + 1_000_000).alias("ord"), "line")
-    files = lines.select("file").distinct()
-    return files.crossJoin(F.broadcast(header.select("ord", "line"))).select("file", "ord", "line").unionByName(tail)
+    head = F.posexplode(F.array(*map(F.lit, header))).alias("at", "line")
+    files = lines.select("file").distinct().select("file", head)
+    return files.select("file", F.col("at").cast("long").alias("ord"), "line").unionByName(tail)
 
 
 def dated_output(stem: Column, episode: Column, taken: Column, day: Column) -> Column:
