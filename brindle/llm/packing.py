@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -161,9 +162,15 @@ class Mixture:
                 at = stop
 
 
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, which runs many tasks: what it has learnt is kept."""
+    return WordTokenizer(path)
+
+
 def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tokenizer, given = TaskContext.get().partitionId(), WordTokenizer(path), {}
+        part, tokenizer, given = TaskContext.get().partitionId(), word_tokenizer(path), {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 doc_ids, texts, queues = (batch.column(k).slice(lo, 512) for k in range(3))
