@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK = 64 * 1024
 
@@ -22,7 +23,7 @@ def signature(content: bytes, size: int | None = None) -> str:
     return h.hexdigest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fast_signature(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else signature(bytes(b)))
 
@@ -42,7 +43,7 @@ def perceptual_hash(pixels: bytes) -> int:
     return int(np.packbits(low > np.median(low[1:]), bitorder="little").view(np.int64)[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def phash(pixels: pd.Series) -> pd.Series:
     return pixels.map(lambda b: None if b is None or len(b) != 1024 else perceptual_hash(bytes(b))).astype("Int64")
 
@@ -106,7 +107,7 @@ def sanitized_jpeg(data: bytes) -> tuple[bytes | None, bool, bool, str | None]:
     return clean, clean != data, any(m == 0xE2 and b.startswith(ICC_JPEG) for m, b in parts), None
 
 
-@F.pandas_udf("bytes binary, changed boolean, has_icc boolean, error string")
+@F.pandas_udf(T.StructType().add("bytes", T.BinaryType()).add("changed", T.BooleanType()).add("has_icc", T.BooleanType()).add("error", T.StringType()))
 def sanitize_jpeg(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([sanitized_jpeg(bytes(b)) if b is not None else (None, False, False, "missing") for b in content], columns=["bytes", "changed", "has_icc", "error"])
 
@@ -143,7 +144,7 @@ def icc_profile(data: bytes) -> bytes | None:
     return None
 
 
-@F.pandas_udf("sha256 string, error string")
+@F.pandas_udf(T.StructType().add("sha256", T.StringType()).add("error", T.StringType()))
 def icc_sha256(content: pd.Series) -> pd.DataFrame:
     def one(b: bytes | None) -> tuple[str | None, str | None]:
         try:
@@ -165,7 +166,7 @@ def decoded_text(data: bytes) -> str:
     return data.decode("latin-1")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_text(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else decoded_text(bytes(b)))
 
@@ -173,7 +174,7 @@ def decode_text(content: pd.Series) -> pd.Series:
 def keyed_xor(key: bytes):
     """A UDF: bytes XORed with a repeating key."""
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def xor(content: pd.Series) -> pd.Series:
         def one(b: bytes | None) -> bytes | None:
             if b is None:
