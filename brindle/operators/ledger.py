@@ -52,7 +52,7 @@ def collected_late(results: DataFrame, late: DataFrame, key: str) -> DataFrame:
 
 def symmetric_distinct(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row for each unordered pair."""
-    return pairs.dropDuplicates([]) if not pairs.columns else pairs.withColumn("__p", F.array_sort(F.array(a, b))).dropDuplicates(["__p"]).drop("__p")
+    return pairs.withColumn("__p", F.array_sort(F.array(a, b))).dropDuplicates(["__p"]).drop("__p")
 
 
 def deltas(at: Column, by: list[str], order: str, wait_s: float) -> Column:

@@ -53,7 +53,7 @@ def shortest_path(spark: SparkSession, grid: DataFrame, targets: list[list[str]]
             return [tuple(p) for p in found]
         if paths.isEmpty():
             return None
-        moved = paths.join(F.broadcast(step), F.col("col" if length % 2 else "row") == F.col("c" if length % 2 else "r"))
+        moved = paths.join(step, F.col("col" if length % 2 else "row") == F.col("c" if length % 2 else "r"))
         fresh = moved.where(~F.array_contains("path", F.struct(F.col("r").alias("row"), F.col("c").alias("col"))))
         paths = fresh.select(F.col("r").alias("row"), F.col("c").alias("col"), F.concat("path", F.array(F.struct(F.col("r").alias("row"), F.col("c").alias("col")))).alias("path"), F.concat("vals", "v", F.lit("\x1f")).alias("vals"))
     return None
