@@ -12,7 +12,7 @@ def _scaled(size: Column, step: int, units: tuple[str, ...], decimals: int, whol
     magnitude = F.abs(n) if signed else n
     out = None
     for k in reversed(range(len(units))):
-        text = F.format_string("%d " + units[k], n.cast("long")) if k == 0 and whole_bytes else F.format_string(f"%.{decimals}f {units[k]}", n / F.lit(float(step**k)))
+        text = F.format_string("%d " + units[k], n.cast("long")) if k == 0 and whole_bytes else F.format_string(f"%.{decimals}f {units[k]}", F.bround(n / F.lit(float(step**k)), decimals))
         out = text if out is None else F.when(magnitude < float(step ** (k + 1)), text).otherwise(out)
     return out
 
@@ -64,7 +64,7 @@ def duration_words(seconds: Column) -> Column:
     """12.3s, 2m 03s or 1h 02m 03s."""
     x = F.greatest(seconds.cast("double"), F.lit(0.0))
     h, m, s = _parts(x.cast("long"))
-    return F.when(x < 60, F.format_string("%.1fs", x)).when(h > 0, F.format_string("%dh %02dm %02ds", h, m, s)).otherwise(F.format_string("%dm %02ds", m, s))
+    return F.when(x < 60, F.format_string("%.1fs", F.bround(x, 1))).when(h > 0, F.format_string("%dh %02dm %02ds", h, m, s)).otherwise(F.format_string("%dm %02ds", m, s))
 
 
 def eta(seconds: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -158,14 +159,23 @@ def interpolated(x1: Column, y1: Column, x2: Column, y2: Column, y: Column) -> C
 
 def log_interpolation(points: Column, target: Column, factor: Column) -> Column:
     """points: array of struct(x, y); x for the target on the pair around it, or on the outer pair."""
-    valid = F.array_sort(F.filter(points, lambda p: p["y"] > 0))
-    scaled = F.transform(valid, lambda p: F.struct(p["x"].cast("double").alias("x"), (p["y"] * factor).alias("y")))
-    pairs = F.zip_with(F.slice(scaled, F.lit(1), F.size(scaled) - 1), F.slice(scaled, F.lit(2), F.size(scaled) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     goal = F.greatest(target, F.lit(1.0))
-    around = F.filter(pairs, lambda p: (F.least(p["a"]["y"], p["b"]["y"]) <= goal) & (goal <= F.greatest(p["a"]["y"], p["b"]["y"])))
-    sizes = F.transform(scaled, lambda p: p["y"])
-    pair = F.when(F.size(around) > 0, F.get(around, 0)).when(goal > F.array_max(sizes), F.get(pairs, 0)).when(goal < F.array_min(sizes), F.try_element_at(pairs, F.lit(-1)))
-    return F.when(F.size(valid) >= 2, interpolated(pair["a"]["x"], pair["a"]["y"], pair["b"]["x"], pair["b"]["y"], goal))
+
+    def on(scaled: Column) -> Column:
+        pairs = F.zip_with(F.slice(scaled, F.lit(1), F.size(scaled) - 1), F.slice(scaled, F.lit(2), F.size(scaled) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        sizes = F.transform(scaled, lambda p: p["y"])
+        around = lambda ps: F.get(F.filter(ps, lambda p: (F.least(p["a"]["y"], p["b"]["y"]) <= goal) & (goal <= F.greatest(p["a"]["y"], p["b"]["y"]))), 0)
+        outer = lambda ps: F.when(goal > F.array_max(sizes), F.get(ps, 0)).when(goal < F.array_min(sizes), F.try_element_at(ps, F.lit(-1)))
+        line = lambda p: interpolated(p["a"]["x"], p["a"]["y"], p["b"]["x"], p["b"]["y"], goal)
+        return F.when(F.size(scaled) >= 2, let(let(pairs, lambda ps: F.coalesce(around(ps), outer(ps))), line))
+
+    valid = F.array_sort(F.filter(points, lambda p: p["y"] > 0))
+    return let(F.transform(valid, lambda p: F.struct(p["x"].cast("double").alias("x"), (p["y"] * factor).alias("y"))), on)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def feasibility(estimate: Column, least_size: Column, most_size: Column, target: Column, limit: Column, crf_max: float = 51.0) -> Column:
