@@ -12,9 +12,10 @@ is joined is verified on the words. A key is a sum over pairs of neighbouring wo
 takes constant time for each word left out. Two keys, equal but for the place of the word left
 out, would also join lines that are two edits apart; so replaced words join at equal places.
 
-A line has a partner only if a line shares its first words (edit at the end), its last words (edit
-at the start), or both (edit between); others emit nothing, which loses none. Lines are told
-apart by a 64-bit hash and their length.
+A line has a partner only if a line shares its first half (edit in the second) or its second half
+(edit in the first), halves being counted in the words of the shorter line; a line emits the
+variants of the halves for which that holds, which loses none. Lines are told apart by a 64-bit
+hash and their length.
 
 Rows: null and empty texts have no lines to go; a null doc_id is after all others; rows of one
 doc_id are neither earlier nor later than each other; repeated rows give equal results; an empty
@@ -29,8 +30,6 @@ from pyspark.sql import functions as F
 from brindle.llm.common import WORD_GAP, read_table, written
 
 MIN_WORDS, NEAR_WORDS = 3, 10
-#: Words at either end; half of NEAR_WORDS, so that an edit leaves one end as it was.
-END = NEAR_WORDS // 2
 LAST = (1 << 63) - 1
 #: Bits of a hashed pair: sums over lines of millions of words stay in 64 bits.
 PAIR_BITS = 40
@@ -45,9 +44,13 @@ def _order() -> Column:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc, text_hash, line, norm): the lines of each text that count; doc: doc_id, or the last number for none."""
-    gap = F.trim(F.regexp_replace("raw", WORD_GAP, " "))
+    raw = F.col("raw")
+    odd = F.startswith(raw, F.lit(" ")) | F.endswith(raw, F.lit(" "))
+    for gap in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(raw, F.lit(gap))
+    norm = F.when(odd, F.trim(F.regexp_replace(raw, WORD_GAP, " "))).otherwise(raw)
     rows = docs.where("text is not null").select(_order().alias("doc"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    return rows.select("doc", "text_hash", "line", gap.alias("norm")).where(n_words("norm") >= MIN_WORDS)
+    return rows.select("doc", "text_hash", "line", norm.alias("norm")).where(n_words("norm") >= MIN_WORDS)
 
 
 def n_words(norm: str) -> Column:
@@ -58,16 +61,23 @@ def _named(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"h": F.xxhash64("norm"), "len": F.char_length("norm")})
 
 
-def _sides(words: str) -> tuple[Column, Column]:
-    return F.xxhash64(F.substring_index(words, " ", END)), F.xxhash64(F.substring_index(words, " ", -END))
+#: The halves of a line of n words: as the shorter or equal line of a pair (of n words), as the longer (of n - 1).
+HALVES = {"first": (0, 1), "second": (0, -1), "first_longer": (1, 1), "second_longer": (1, -1)}
+
+
+def _halves() -> dict[str, Column]:
+    """Hashes of the halves, with the words of the shorter line; null for lines of too few words."""
+    near = F.col("n") >= NEAR_WORDS
+    half = lambda less, sign: F.expr(f"substring_index(norm, ' ', {sign} * ((n - {less}) div 2))")
+    return {name: F.when(near & (F.col("n") - less >= NEAR_WORDS), F.xxhash64(F.col("n") - less, F.lit(sign), half(less, sign))) for name, (less, sign) in HALVES.items()}
 
 
 def with_partners(distinct: DataFrame) -> DataFrame:
-    """Of the distinct lines (h, len, doc, first, last): those that may have partners, and where the edit may be."""
-    ends = F.array(*(F.struct(F.lit(k).alias("kind"), F.xxhash64(F.lit(k), *cols).alias("end")) for k, cols in enumerate((["first"], ["last"], ["first", "last"]))))
-    keyed = distinct.where("first is not null").select(*LINE, "doc", F.explode(ends).alias("e")).select(*LINE, "doc", "e.kind", "e.end")
-    shared = keyed.groupBy("kind", "end").count().where("count > 1").select("kind", "end")
-    return keyed.join(shared, ["kind", "end"], "left_semi").groupBy(*LINE).agg(F.min("doc").alias("doc"), *(F.max(F.col("kind") == k).alias(name) for k, name in enumerate(("at_end", "at_start", "between"))))
+    """Of the distinct lines (h, len, doc and halves): those that may have partners, and which halves are shared."""
+    ends = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(name).alias("half")) for k, name in enumerate(HALVES)))
+    keyed = distinct.where("first is not null").select(*LINE, "doc", F.explode(ends).alias("e")).select(*LINE, "doc", "e.kind", "e.half").where("half is not null")
+    shared = keyed.groupBy("half").count().where("count > 1").select("half")
+    return keyed.join(shared, "half", "left_semi").groupBy(*LINE).agg(F.min("doc").alias("doc"), *(F.max(F.col("kind") == k).alias(name) for k, name in enumerate(HALVES)))
 
 
 def _pair(a: Column, b: Column) -> Column:
@@ -81,7 +91,8 @@ def variants(candidates: DataFrame) -> DataFrame:
     paired = bounded.withColumn("pairs", F.transform(F.sequence(F.lit(0), n), lambda i: _pair(F.get("w", i), F.get("w", i + 1))))
     summed = paired.withColumn("total", F.aggregate("pairs", F.lit(0).cast("long"), lambda s, x: s + x))
     left_out = lambda i: F.col("total") - F.get("pairs", i) - F.get("pairs", i + 1) + _pair(F.get("w", i), F.get("w", i + 2))
-    wanted = lambda i: (F.col("at_start") & (i < END)) | (F.col("at_end") & (i >= n - END)) | (F.col("between") & (i >= END) & (i < n - END))
+    own, less = F.floor(n / 2), F.floor((n - 1) / 2)
+    wanted = lambda i: (F.col("first") & (i >= own)) | (F.col("second") & (i < own)) | (F.col("first_longer") & (i >= less)) | (F.col("second_longer") & (i < less))
     whole = F.array(F.struct(F.col("total").alias("key"), n.alias("left"), F.lit(-1).alias("place")))
     places = F.filter(F.sequence(F.lit(0), n - 1), wanted)
     every = F.concat(whole, F.transform(places, lambda i: F.struct(left_out(i).alias("key"), (n - 1).alias("left"), i.alias("place"))))
@@ -99,7 +110,7 @@ def near_lines(spark: SparkSession, docs: DataFrame, distinct: DataFrame) -> Dat
     partners = written(spark, with_partners(distinct), "partners")
     small = partners.count() <= BROADCAST_ROWS
     found = _named(lines_of(docs)).select("norm", *LINE).join(F.broadcast(partners) if small else partners, LINE)
-    candidates = written(spark, found.groupBy(*LINE, "doc", "at_end", "at_start", "between").agg(F.min("norm").alias("norm")), "candidates")
+    candidates = written(spark, found.groupBy(*LINE, "doc", *HALVES).agg(F.min("norm").alias("norm")), "candidates")
     keys = written(spark, variants(candidates), "variants")
     out = keys.where("place >= 0")
     key = ["key", "left"]
@@ -118,10 +129,9 @@ def near_lines(spark: SparkSession, docs: DataFrame, distinct: DataFrame) -> Dat
 
 def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc, text_hash, gone): the numbers of the lines that go, for texts that lose any."""
-    first, last = _sides("norm")
-    near = n_words("norm") >= NEAR_WORDS
-    lines = written(spark, _named(lines_of(docs)).select("doc", "text_hash", "line", *LINE, F.when(near, first).alias("first"), F.when(near, last).alias("last")), "lines")
-    distinct = written(spark, lines.groupBy(*LINE).agg(F.min("doc").alias("doc"), F.count("*").alias("n"), F.min("first").alias("first"), F.min("last").alias("last")), "distinct-lines")
+    named = _named(lines_of(docs)).withColumn("n", n_words("norm"))
+    lines = written(spark, named.select("doc", "text_hash", "line", *LINE, *(c.alias(k) for k, c in _halves().items())), "lines")
+    distinct = written(spark, lines.groupBy(*LINE).agg(F.min("doc").alias("doc"), F.count("*").alias("n"), *(F.min(k).alias(k) for k in HALVES)), "distinct-lines")
     near_by = near_lines(spark, docs, distinct)
     repeated = distinct.join(near_by, LINE, "left").where("n > 1 or near is not null").select(*LINE, F.least("doc", "near").alias("earliest"))
     hits = lines.select("doc", "text_hash", "line", *LINE).join(repeated, LINE).repartition("doc", "text_hash")
