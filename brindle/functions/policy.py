@@ -20,8 +20,8 @@ SUBTITLE_TEXT = ["subrip", "srt", "ass", "ssa", "webvtt", "mov_text", "tx3g", "t
 SUBTITLE_IMAGE = ["hdmv_pgs_subtitle", "dvd_subtitle", "dvdsub", "pgssub", "xsub", "dvb_subtitle"]
 QUALITY_STEPS = [(95, 2), (90, 3), (85, 4), (80, 5), (75, 6), (70, 7), (65, 8), (60, 10), (55, 12), (50, 14), (45, 16), (40, 18), (35, 20)]
 NEED_BOUNDS = [(55, 20, 74), (40, 24, 82), (25, 30, 88), (10, 36, 93)]
-DEFAULT_AUDIO_KBPS, TARGET_BYTES, OVERHEAD, SAFETY = 128, 4 * 1024**3, 0.98, 0.97
-SAMPLE_SECONDS, SAMPLE_POINTS = 30.0, [0.10, 0.30, 0.50, 0.70, 0.90]
+DEFAULT_AUDIO_KBPS, TARGET_BYTES, LIMIT_BYTES, OVERHEAD, SAFETY = 128, 3800 * 1024**2, 4 * 1024**3, 0.98, 0.97
+SAMPLE_SECONDS, SAMPLE_POINTS = 10.0, [0.10, 0.30, 0.50, 0.70, 0.90]
 
 
 def acceptable(size: Column, strict_max: int = STRICT_MAX) -> Column:
@@ -79,7 +79,7 @@ def subtitle_plan(codecs: Column) -> Column:
     )
 
 
-def remux_decision(video_codec: Column, audio_codecs: Column, size: Column, limit: int = TARGET_BYTES) -> Column:
+def remux_decision(video_codec: Column, audio_codecs: Column, size: Column, limit: int = LIMIT_BYTES) -> Column:
     return F.when(stream_copyable(video_codec, audio_codecs) & (size <= limit), "FAST_REMUX").otherwise("ENCODE")
 
 

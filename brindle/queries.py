@@ -418,7 +418,7 @@ def quality_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", told["category"].alias("category"))
 
 
-@query("SELECT o_orderkey, trunc(greatest(4096.0::DOUBLE * 8000 * 0.98 / d * 0.97 - 128, 100.0))::BIGINT AS kbps, greatest(100, trunc(4000 * (4294967296.0::DOUBLE / (o_totalprice * 30000)) * 0.95))::BIGINT AS retry FROM (SELECT *, o_totalprice / 10 AS d FROM orders)")
+@query("SELECT o_orderkey, trunc(greatest(3800.0::DOUBLE * 8000 * 0.98 / d * 0.97 - 128, 100.0))::BIGINT AS kbps, greatest(100, trunc(4000 * (3984588800.0::DOUBLE / (o_totalprice * 30000)) * 0.95))::BIGINT AS retry FROM (SELECT *, o_totalprice / 10 AS d FROM orders)")
 def target_bitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("o_totalprice")
     return table(spark, sf_dir, "orders").select("o_orderkey", policy.target_kbps(price / 10, F.lit(128)).cast("long").alias("kbps"), policy.retry_kbps(F.lit(4000), price * 30000).cast("long").alias("retry"))

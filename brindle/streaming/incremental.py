@@ -25,12 +25,12 @@ def ingest(stream: DataFrame, ledger_path: str, checkpoint: str, key: str, handl
     def run(batch: DataFrame, _: int) -> None:
         spark: SparkSession = batch.sparkSession
         try:
-            done = spark.read.parquet(ledger_path).where("status = 'success'").select("key").distinct()
+            done = spark.read.parquet(ledger_path).where("status = 'success'").select(F.col("key").alias("__done")).distinct()
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-            done = spark.createDataFrame([], "key string")
-        fresh = batch.dropDuplicates([key]).join(done, F.col(key) == F.col("key"), "left_anti")
+            done = spark.createDataFrame([], "__done string")
+        fresh = batch.dropDuplicates([key]).join(done, F.col(key) == F.col("__done"), "left_anti")
         handle(fresh).select("key", "status", "reason", F.current_timestamp().alias("ts")).write.mode("append").parquet(ledger_path)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
