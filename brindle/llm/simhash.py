@@ -35,9 +35,7 @@ from brindle.operators.graph import connected_components
 
 BITS = 64
 SEED = 42
-#: A bucket of more fingerprints is linked to pivots first.
-DENSE = 16
-#: A bucket of more fingerprints, after that, is split on the remaining bits.
+#: A bucket of more fingerprints of different labels is split on the remaining bits.
 LARGE = 256
 #: What a probe costs, in pairs to verify: a row that is shuffled against a comparison.
 PROBE_COST = 25
@@ -192,8 +190,8 @@ def link(spark: SparkSession, fps: DataFrame, radius: int) -> DataFrame:
 
     index = keyed(fps.select("fp"), False)
     order = [F.struct(F.xxhash64(F.lit(s), "fp").alias("h"), "fp") for s in (1, 2)]
-    dense = index.groupBy("i", "v").agg(F.count("*").alias("n"), *(F.min(o).alias(f"p{k}") for k, o in enumerate(order))).where(F.col("n") > DENSE)
-    stars = index.join(dense, ["i", "v"]).select("fp", F.explode(F.array("p0.fp", "p1.fp")).alias("pivot")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= radius)
+    pivots = index.groupBy("i", "v").agg(F.count("*").alias("n"), *(F.min(o).alias(f"p{k}") for k, o in enumerate(order))).where("n > 1")
+    stars = index.join(pivots, ["i", "v"]).select("fp", F.explode(F.array("p0.fp", "p1.fp")).alias("pivot")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= radius)
     first = written(spark, connected_components(spark, stars, "fp", "pivot"), "stars")
     labelled = written(spark, fps.select("fp").join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("label")), "labels")
 
