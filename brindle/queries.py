@@ -554,3 +554,70 @@ def style_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {HASHED} SELECT vec_id, bit_count(xor(h, 6148914691236517205))::BIGINT AS distance FROM h")
 def hamming_to_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed(spark, sf_dir).select("vec_id", hamming(F.col("h"), F.lit(6148914691236517205)).cast("long").alias("distance"))
+
+
+# ---- decisions on rows ------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, CASE WHEN page_id % 7 IN (3, 4) THEN false WHEN page_id % 2 = 0 THEN page_id % 7 IN (0, 2) ELSE page_id % 7 = 2 END AS valid FROM pages")
+def response_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.element_at(F.array(*map(F.lit, [200, 302, 206, 403, 404, 301, 100])), (F.col("page_id") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", web.valid_response(status, F.col("page_id") % 2).alias("valid"))
+
+
+@query("SELECT event_type AS kind, count(*)::BIGINT AS n FROM (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'image' WHEN event_type = 'purchase' THEN 'video' ELSE 'other' END AS event_type FROM events) GROUP BY 1")
+def media_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    ext = F.when(kind == "click", "jpg").when(kind == "view", "webp").when(kind == "purchase", "mp4").otherwise("bin")
+    return table(spark, sf_dir, "events").groupBy(web.media_kind(ext).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN abs(a - b) > greatest(1.0, 0.01 * abs(a)) THEN 'duration_mismatch' WHEN l_linenumber % 3 = 0 THEN 'video_streams' WHEN l_linenumber % 5 = 0 THEN 'subtitle_streams' END AS fault FROM (SELECT *, l_extendedprice AS a, l_extendedprice * (1 + l_tax / 4) AS b FROM lineitem)""")
+def remux_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.col("l_linenumber")
+    source = {"video": F.lit(1), "audio": F.lit(2), "subtitle": F.lit(0)}
+    out = {"video": F.when(line % 3 == 0, 0).otherwise(1), "audio": F.lit(2), "subtitle": F.when(line % 5 == 0, 1).otherwise(0)}
+    fault = policy.verify_remux(F.col("l_extendedprice"), F.col("l_extendedprice") * (1 + F.col("l_tax") / 4), source, out)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fault.alias("fault"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'unreadable' WHEN doc_id % 7 = 0 THEN 'codec_mismatch' WHEN doc_id % 5 = 0 THEN 'dimension_mismatch' WHEN doc_id % 3 = 0 THEN 'icc_missing' WHEN NOT (n_chars * 4000 > 0 AND n_chars * 4000 < 4950000) THEN 'size_over_limit' END AS fault FROM documents""")
+def output_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    expected = {"codec": F.lit("PNG"), "width": F.lit(10), "height": F.lit(10), "has_alpha": F.lit(True), "icc_sha256": F.lit("x")}
+    actual = {
+        "is_readable": d % 11 != 0, "codec": F.when(d % 7 == 0, "JPG").otherwise("PNG"), "width": F.when(d % 5 == 0, 9).otherwise(10), "height": F.lit(10), "has_alpha": F.lit(True),
+        "icc_sha256": F.when(d % 3 != 0, "x"), "size": SIZE,
+    }
+    return table(spark, sf_dir, "documents").select("doc_id", policy.verify_output(expected, actual).alias("fault"))
+
+
+@query("WITH f AS (SELECT l_suppkey AS folder, sum(CASE WHEN l_returnflag = 'N' THEN 2 ELSE 0 END + CASE WHEN l_linestatus = 'F' AND l_linenumber = 1 THEN 5 ELSE 0 END)::BIGINT AS score FROM lineitem GROUP BY 1) SELECT folder, score FROM f")
+def folder_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tool = (F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1)
+    listing = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("folder"), F.when(F.col("l_returnflag") == "N", ".jpg").otherwise(".bin").alias("extension"), F.when(tool, "tool").otherwise("file").alias("name"))
+    return summary.folder_scores(listing, [".jpg"], ["tool"])
+
+
+@query("""WITH n AS (SELECT p_partkey, p_type, p_brand, row_number() OVER (PARTITION BY lower(p_type) ORDER BY p_partkey) AS n FROM part), p AS (SELECT *, CASE WHEN n = 1 THEN p_type ELSE replace(p_brand, '/', '__') || '__' || p_type END AS t FROM n),
+m AS (SELECT *, row_number() OVER (PARTITION BY lower(t) ORDER BY p_partkey) AS m FROM p) SELECT p_partkey, CASE WHEN m = 1 THEN t ELSE t || '_' || m::VARCHAR END AS target FROM m""")
+def prefix_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("name"), F.col("p_brand").alias("parents"))
+    return naming.prefixed_on_collision(parts, "name", "parents", ["p_partkey"]).select("p_partkey", "target")
+
+
+@query("SELECT o_orderkey, CASE WHEN d <= 10 THEN 1 WHEN d <= 20 THEN 2 ELSE 5 END::BIGINT AS clips FROM (SELECT o_orderkey, o_totalprice / 1000 AS d FROM orders) WHERE d <= 20 OR d > 100")
+def sample_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("o_totalprice") / 1000
+    return table(spark, sf_dir, "orders").where((d <= 20) | (d > 100)).select("o_orderkey", F.size(policy.sample_starts(d)).cast("long").alias("clips"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS cue FROM conversations WHERE role <> 'system'), b AS (SELECT conv_id, cue, cue::VARCHAR || chr(10) || '00:00:' || lpad((turn % 60)::VARCHAR, 2, '0') || ',000 --> 00:00:' || lpad((turn % 60)::VARCHAR, 2, '0') || ',000' || chr(10) || role || chr(10) || chr(10) AS block FROM s)
+SELECT conv_id::VARCHAR AS file, md5(string_agg(block, '' ORDER BY cue)) AS digest FROM b GROUP BY 1""")
+def cue_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as subtitle files: system turns are drawings, which leave no cue."""
+    time = F.format_string("0:00:%02d.00", F.col("turn") % 60)
+    text = F.when(F.col("role") == "system", F.lit("{\\p1}m 0 0")).otherwise(F.col("role"))
+    line = F.concat(F.lit("Dialogue: 0,"), time, F.lit(","), time, F.lit(",Default,,0,0,0,,"), text)
+    lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("ord"), line.alias("line"))
+    return subtitles.srt_documents(subtitles.to_cues(lines)).select("file", F.md5("srt").alias("digest"))

@@ -48,7 +48,7 @@ def test_columns(spark):
 def test_log_interpolation(spark):
     points = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((28, 4e9), (34, 1e9))))
     assert value(spark, policy.log_interpolation(points, F.lit(2e9), F.lit(1.0))) == pytest.approx(31.0)
-    assert value(spark, policy.sample_starts(F.lit(20.0))) == [0.0]
+    assert value(spark, policy.sample_starts(F.lit(8.0))) == [0.0]
     assert len(value(spark, policy.sample_starts(F.lit(600.0)))) == 5
 
 
