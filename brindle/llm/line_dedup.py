@@ -142,13 +142,13 @@ def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with the lines that stay as text, and n_lines and n_removed."""
-    removed = removed_lines(spark, docs.select("doc_id", "text"))
+    removed = removed_lines(spark, docs.select("doc_id", "text")).select(F.col("doc").alias("__d"), F.col("text_hash").alias("__h"), F.col("gone").alias("__gone"))
     own = docs.drop("n_lines", "n_removed").withColumns({"__doc": _order(), "__hash": F.xxhash64("text")})
-    joined = own.join(removed, (F.col("__doc") == F.col("doc")) & (F.col("__hash") == F.col("text_hash")), "left").drop("__doc", "__hash", "doc", "text_hash")
+    joined = own.join(removed, (F.col("__doc") == F.col("__d")) & (F.col("__hash") == F.col("__h")), "left").drop("__doc", "__hash", "__d", "__h")
     raw = F.split("text", "\n")
-    kept = F.array_join(F.filter(raw, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    out = joined.withColumns({"n_lines": F.coalesce(F.size(raw), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")})
-    return out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).drop("gone")
+    kept = F.array_join(F.filter(raw, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    out = joined.withColumns({"n_lines": F.coalesce(F.size(raw), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
+    return out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).drop("__gone")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
