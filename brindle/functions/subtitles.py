@@ -33,7 +33,7 @@ def dialogue_parts(line: Column, fields: Column | None = None) -> Column:
 
 def format_fields(line: Column) -> Column:
     """The names in a Format line that lists Text; null otherwise."""
-    names = F.transform(F.split(F.substring(line, 8, 1 << 20), ","), F.trim)
+    names = F.transform(F.split(F.substring(line, 8, 1 << 20), ","), lambda x: F.trim(x))
     return F.when(F.startswith(line, F.lit("Format:")) & F.contains(line, F.lit("Text")), names)
 
 
