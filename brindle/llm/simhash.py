@@ -41,18 +41,26 @@ LARGE = 256
 PROBE_COST = 25
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """As a signed 64-bit number."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Of each run of so many words, or of all words if they are fewer; none without words."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only, ASCII white space
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     n = max(1, len(tokens) - words + 1)
     firsts = [0, *(ends[: n - 1] + 1).tolist()]
     lasts = ends[len(tokens) - n :].tolist()
     h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in zip(firsts, lasts, strict=True)), np.uint64, n)
+    return np.fromiter((h(joined[a:b], SEED) for a, b in zip(firsts, lasts, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """As a signed 64-bit number."""
+    hashes = shingle_hashes(text, words)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
@@ -234,12 +242,3 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, radius
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(spark, read_table(spark, sf_dir, "documents"), words=4, radius=4)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def representatives(spark: SparkSession, docs: DataFrame, words: int, radius: int) -> DataFrame:
-    """One row of docs for each component, that with the smallest doc_id."""
-    rows = near_duplicates(spark, docs, words, radius).select("doc_id", "component_id").distinct()
-    heads = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
-    unique = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept if unique else kept.dropDuplicates(["doc_id"])
