@@ -50,3 +50,12 @@ def test_rows_without_ids_of_their_own_stay(spark):
     rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (8, c), (9, a)]
     out = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()
     assert sorted(((r.doc_id or 0), r.text) for r in out) == sorted([(9, a), (0, b), (7, c), (7, d)])
+
+
+def test_only_contaminated_rows_go(spark):
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 150").first().text
+    clean = [" ".join(words(200 + k, 40)) for k in range(3)]
+    rows = [(None, item), (None, clean[0]), (5, clean[1]), (5, "see " + item), (6, clean[2]), (None, None)]
+    out = corpus_pipeline.decontamination(spark, frame(spark, rows), sf).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in out) == sorted([(0, clean[0]), (5, clean[1]), (6, clean[2]), (0, "")])
