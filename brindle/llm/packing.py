@@ -35,8 +35,8 @@ SEQUENCE = 4096
 END_ID = 2
 #: A window is this many sequences.
 WINDOW_SEQUENCES = 32
-#: Sources beyond this many share queues, by their hash: the driver keeps a number per queue.
-MAX_QUEUES = 1024
+#: Queues without a weight are summed in so many groups, whose sums are summed in turn.
+GROUPS = 1024
 #: Words, and parts of words, whose ids a Python worker keeps.
 CACHED = 600_000
 #: Characters that Python's split() takes for white space and the tokenizer doesn't.
@@ -98,52 +98,90 @@ class Mixture:
     """Where the tokens of each queue go.
 
     totals: tokens by queue. weights: target weights in whole numbers; None: as the queues are
-    filled. Phases but the last are whole windows, so only the stream's end is left unfilled.
+    filled. Once a queue can't fill its share of a window, a window takes what it has left and a
+    new phase begins with the weights that remain. Queues without a weight are one pool, which comes
+    last; a queue of it only needs its span in the pool, (tokens of the queues before, with it), so
+    the pool can be kept elsewhere: rest is what it holds beyond totals, with spans from there on.
+    Phases but the last are whole windows, so only the stream's end is left unfilled.
     """
 
-    def __init__(self, totals: dict[str, int], window: int, weights: dict[str, int] | None = None):
-        self.window, left, start = window, {q: n for q, n in sorted(totals.items()) if n > 0}, 0
-        done = dict.fromkeys(left, 0)
-        #: (start in the stream, tokens, {queue: (taken before, amounts up to it, with it)})
-        self.phases: list[tuple[int, int, dict[str, tuple[int, int, int]]]] = []
-        while left:
-            live = {q: int(weights.get(q, 0)) for q in left if int(weights.get(q, 0)) > 0} if weights else {}
-            taken = self._whole_windows(left, live) if live else {}
-            if not sum(taken.values()):  # in proportion to what is left: all queues end together
-                taken = dict(left)
+    def __init__(self, totals: dict[str, int], window: int, weights: dict[str, int] | None = None, rest: int = 0):
+        self.window, self.spans, self.pool, left = window, {}, 0, {}
+        live = {q: int(w) for q, w in (weights or {}).items() if int(w) > 0}
+        for q, n in sorted(totals.items()):
+            if n > 0 and q in live:
+                left[q] = n
+            elif n > 0:
+                self.spans[q] = (self.pool, self.pool + n)
+                self.pool += n
+        self.pool += rest
+        done, start, given = dict.fromkeys(left, 0), 0, 0
+        #: (start in the stream, tokens, {queue: (taken before, amounts up to it, with it)}, tokens of the pool before and after)
+        self.phases: list[tuple[int, int, dict[str, tuple[int, int, int]], int, int]] = []
+        while left or given < self.pool:
+            here = {q: live[q] for q in left}
+            taken = (self._whole_windows(left, here) or self._mixed_window(left, here)) if left else {}
             sums, places = 0, {}
             for q, n in taken.items():
                 places[q] = (done[q], sums, sums + n)
                 sums += n
                 done[q] += n
                 left[q] -= n
-            self.phases.append((start, sums, places))
-            start += sums
             left = {q: n for q, n in left.items() if n}
+            before = given
+            if not left:  # the pool fills the window up, or is all that there is
+                given = self.pool if not taken else min(self.pool, given + -sums % window)
+            self.phases.append((start, sums + given - before, places, before, given))
+            start += sums + given - before
         self.tokens = start
 
+    @staticmethod
+    def _shares(amount: int, live: dict[str, int]) -> dict[str, int]:
+        total, sums, out = sum(live.values()), 0, {}
+        for q, w in live.items():
+            out[q] = amount * (sums + w) // total - amount * sums // total
+            sums += w
+        return out
+
     def _whole_windows(self, left: dict[str, int], live: dict[str, int]) -> dict[str, int]:
         total = sum(live.values())
         n = min(left[q] * total // (w * self.window) for q, w in live.items())
         while n:
-            taken, sums = {}, 0
-            for q, w in live.items():
-                taken[q] = n * self.window * (sums + w) // total - n * self.window * sums // total
-                sums += w
+            taken = self._shares(n * self.window, live)
             if all(taken[q] <= left[q] for q in live):
                 return taken
             n -= 1
         return {}
 
-    def places(self, queue: str, start: int, length: int) -> Iterator[tuple[int, int, int]]:
-        """(place in the stream, offset in the stretch, length) for a stretch of a queue."""
+    def _mixed_window(self, left: dict[str, int], live: dict[str, int]) -> dict[str, int]:
+        """One window: queues that can't fill their shares give all they have, the others share the room."""
+        taken, room = {}, self.window
+        while live:
+            want = self._shares(room, live)
+            short = [q for q in live if left[q] <= want[q]]
+            if not short:
+                return taken | want
+            for q in short:
+                taken[q] = left[q]
+                room -= left[q]
+            live = {q: w for q, w in live.items() if q not in taken}
+        return taken
+
+    def places(self, queue: str, start: int, length: int, span: tuple[int, int] | None = None) -> Iterator[tuple[int, int, int]]:
+        """(place in the stream, offset in the stretch, length) for a stretch of a queue; span: in the pool."""
         at, end = start, start + length
-        for first, total, places in self.phases:
+        span = span or self.spans.get(queue)
+        for first, total, places, given, after in self.phases:
             if at >= end:
                 return
-            if queue not in places:
+            if queue in places:
+                base, lo, hi = places[queue]
+            elif span and after > given:
+                own = total - (after - given)  # tokens of the weighted queues, which come before the pool
+                (g0, h0), (g1, h1) = ([n * s // self.pool for n in (given, after)] for s in span)
+                base, lo, hi = g1 - g0, own + h0 - g0, own + h1 - g1
+            else:
                 continue
-            base, lo, hi = places[queue]
             if at >= base + hi - lo:
                 continue
 
@@ -193,10 +231,10 @@ def _cut(mixture: Mixture, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, out, ids = [], [[] for _ in range(6)], []
-            columns = [batch.column(k).to_pylist() for k in range(1, 5)]
-            for i, (queue, at, tokens, blob) in enumerate(zip(*columns, strict=True)):
+            columns = [batch.column(k).to_pylist() for k in range(1, 7)]
+            for i, (queue, at, tokens, blob, low, high) in enumerate(zip(*columns, strict=True)):
                 all_ids = np.append(np.frombuffer(blob, "<u2").astype("<u4"), np.uint32(END_ID)).tobytes()
-                for place, start, length in mixture.places(queue, at, tokens):
+                for place, start, length in mixture.places(queue, at, tokens, None if low is None else (low, high)):
                     while length:
                         offset = place % SEQUENCE
                         n = min(length, SEQUENCE - offset)
@@ -221,20 +259,27 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, weights: dic
     """Pieces of the documents (doc_id, text, source) in full sequences; ids too if asked for.
 
     weights: target tokens by source, in any whole-number unit; a source without a weight
-    comes after the others. The driver keeps one number for each of at most MAX_QUEUES queues.
+    comes after the others. The driver keeps one number for each source with a weight, and one for
+    all others, whose cumulative amounts are a table: any number of sources has exact shares.
     """
-    few = docs.select("source").distinct().limit(MAX_QUEUES + 1).count() <= MAX_QUEUES
-    named = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("none"))
-    queue = named if few else F.concat(F.lit("hash "), F.pmod(F.xxhash64(named), F.lit(MAX_QUEUES)))
+    queue = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("none"))
+    given = {f"={k}": int(v) for k, v in (weights or {}).items() if int(v) > 0}
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), queue.alias("queue"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     tokens = written(spark, rows.mapInArrow(_tokenise(tokenizer_path), f"doc_id {kind}, queue string, part int, before long, doc_tokens long, ids binary"), "tokens")
-    sums = tokens.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n"))
-    earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("queue", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    totals = {r[0]: r[1] for r in sums.groupBy("queue").agg(F.sum("n")).collect()}
-    mixture = Mixture(totals, SEQUENCE * WINDOW_SEQUENCES, weights and {f"={k}": v for k, v in weights.items()})
-    placed = tokens.join(bases, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("before")).alias("at"), "doc_tokens", "ids")
+    sums = written(spark, tokens.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n")), "sums")
+    weighted = F.col("queue").isin(list(given)) if given else F.lit(False)
+    totals = {r[0]: r[1] for r in sums.where(weighted).groupBy("queue").agg(F.sum("n")).collect()}
+    pool = sums.where(~weighted)
+    rest = pool.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    mixture = Mixture(totals, SEQUENCE * WINDOW_SEQUENCES, given, rest)
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_queue = pool.groupBy("queue").agg(F.sum("n").alias("n")).withColumn("group", F.pmod(F.xxhash64("queue"), F.lit(GROUPS)))
+    groups = by_queue.groupBy("group").agg(F.sum("n").alias("n")).select("group", upto(Window.orderBy("group")).alias("earlier"))  # GROUPS rows at most
+    within = upto(Window.partitionBy("group").orderBy("queue"))
+    spans = by_queue.withColumn("within", within).join(F.broadcast(groups), "group").select("queue", (F.col("earlier") + F.col("within")).alias("low"), (F.col("earlier") + F.col("within") + F.col("n")).alias("high"))
+    bases = sums.select("queue", "part", upto(Window.partitionBy("queue").orderBy("part")).alias("base")).join(spans, "queue", "left")
+    placed = tokens.join(bases, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("before")).alias("at"), "doc_tokens", "ids", "low", "high")
     return placed.mapInArrow(_cut(mixture, with_ids), f"doc_id {kind}, {PIECES}" + ", ids array<int>" * with_ids)
 
 
