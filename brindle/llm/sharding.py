@@ -25,7 +25,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import read_table, shared_dir
+from brindle.llm.common import read_table, written
 
 #: Entries of the matrix: 128 MB when sent to each executor, and the driver's work.
 MAX_CELLS = 16_000_000
@@ -84,16 +84,14 @@ def split_evenly(n: int, parts: int) -> list[int]:
 def hypergeometric_shuffle(spark: SparkSession, docs: DataFrame, n_shards: int, seed: int = 42, cell_rows: int = CELL_ROWS) -> DataFrame:
     """All rows and columns of docs, with shard and slot: the place in a uniform permutation.
 
-    Shard sizes are at most one apart, slots are gapless from 0. docs must give the same
-    partitions whenever it is computed, as a scan of files does; anything with an exchange is
-    first checkpointed in the shared folder.
+    Shard sizes are at most one apart, slots are gapless from 0. The rows are
+    written once with their blocks and places, and counted and dealt from there, as another scan could cut other blocks.
     """
-    shared_dir(spark)
-    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
-        docs = docs.checkpoint()
     rows = docs.drop("shard", "slot").coalesce(max(1, MAX_CELLS // n_shards))
     ids = {"__block": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}
-    counts = {r[0]: r[1] for r in rows.select(F.spark_partition_id().alias("b")).groupBy("b").count().collect()}
+    permuted = rows.withColumns(ids).withColumn("__key", F.xxhash64(F.lit(seed), F.col("__row"))).sortWithinPartitions("__key", "__row")
+    placed = written(spark, permuted.withColumn("__place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).drop("__key"), "placed")
+    counts = {r[0]: r[1] for r in placed.groupBy("__block").count().collect()}
     blocks, total = sorted(counts), sum(counts.values())
     parts = max(1, min(-(-total // (n_shards * cell_rows)), MAX_CELLS // max(1, n_shards * len(blocks))))
     sizes = [split_evenly(n, parts) for n in split_evenly(total, n_shards)]
@@ -107,8 +105,6 @@ def hypergeometric_shuffle(spark: SparkSession, docs: DataFrame, n_shards: int,
     bounds = [list(accumulate(counts_b)) for counts_b in matrix]
     # One row for each block, MAX_CELLS numbers in all: a proven bound for the broadcast.
     lookup = spark.range(1).select(F.posexplode(literal(bounds, "array<array<bigint>>")).alias("at", "__bounds"), literal(blocks, "array<int>").alias("blocks")).select(F.element_at("blocks", F.col("at") + 1).alias("__block"), "__bounds")
-    permuted = rows.withColumns(ids).withColumn("__key", F.xxhash64(F.lit(seed), F.col("__row"))).sortWithinPartitions("__key", "__row")
-    placed = permuted.withColumn("__place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     dealt = placed.join(F.broadcast(lookup), "__block").withColumn("__cell", _cell_of(F.col("__bounds"), F.col("__place"), len(cells))).drop("__bounds", "__place", "__block")
     exchanged = dealt.repartitionById(len(cells), F.col("__cell"))
     again = exchanged.withColumn("__key", F.xxhash64(F.lit(seed + 1), F.col("__row"))).sortWithinPartitions("__cell", "__key", "__row")
