@@ -360,7 +360,12 @@ def replacement_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- policies and estimates -----------------------------------------------------------------------
 
-SIZE = F.col("n_chars") * 4000
+
+def image_size() -> Column:
+    """Bytes of a text as an image."""
+    return F.col("n_chars") * 4000
+
+
 _NEED = "CASE WHEN s > 0 THEN greatest(0.0, (s - 4940000) * 100.0 / s) ELSE 0.0 END"
 _KIND = f"CASE WHEN s = 4000 * 0 THEN 'unreadable' WHEN s < 4950000 THEN 'already_ok' WHEN {_NEED} < 10 AND s * 8.0 / 1000000 > 4 THEN 'easy' WHEN {_NEED} < 25 THEN 'moderate' WHEN {_NEED} < 45 OR s * 8.0 / 1000000 > 3 THEN 'challenging' ELSE 'difficult' END"
 
@@ -368,8 +373,8 @@ _KIND = f"CASE WHEN s = 4000 * 0 THEN 'unreadable' WHEN s < 4950000 THEN 'alread
 @query(f"SELECT doc_id, s > 0 AND s < 4950000 AS acceptable, s > 0 AND s < 4940000 AS preferred, {_KIND} AS potential FROM (SELECT doc_id, n_chars * 4000 AS s FROM documents)")
 def policy_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as images of 4000 bytes a character and a megapixel."""
-    kind = policy.potential(SIZE > 0, SIZE, F.lit(1000), F.lit(1000))
-    return table(spark, sf_dir, "documents").select("doc_id", policy.acceptable(SIZE).alias("acceptable"), policy.preferred(SIZE).alias("preferred"), kind.alias("potential"))
+    kind = policy.potential(image_size() > 0, image_size(), F.lit(1000), F.lit(1000))
+    return table(spark, sf_dir, "documents").select("doc_id", policy.acceptable(image_size()).alias("acceptable"), policy.preferred(image_size()).alias("preferred"), kind.alias("potential"))
 
 
 def _estimate(q: str, codec: str) -> str:
@@ -379,12 +384,12 @@ def _estimate(q: str, codec: str) -> str:
 
 @query(f"SELECT doc_id, {_estimate('93', 'JPG')} AS jpg, {_estimate('93', 'WEBP')} AS webp, {_estimate('93', 'PNG')} AS png FROM (SELECT doc_id, n_chars * 4000 AS s FROM documents)")
 def estimate_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", *(policy.estimate_bytes(SIZE, F.lit(93), c).alias(c.lower()) for c in ("JPG", "WEBP", "PNG")))
+    return table(spark, sf_dir, "documents").select("doc_id", *(policy.estimate_bytes(image_size(), F.lit(93), c).alias(c.lower()) for c in ("JPG", "WEBP", "PNG")))
 
 
 @query(f"SELECT doc_id, max(q)::BIGINT AS quality FROM (SELECT doc_id, q, s, {_estimate('q', 'JPG')} AS e FROM (SELECT doc_id, n_chars * 4000 AS s FROM documents), range(35, 98) t(q)) WHERE e < 4940000 GROUP BY 1")
 def max_quality_under_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = policy.max_quality_under(SIZE, F.lit(policy.PREFERRED)).cast("long")
+    best = policy.max_quality_under(image_size(), F.lit(policy.PREFERRED)).cast("long")
     return table(spark, sf_dir, "documents").select("doc_id", best.alias("quality")).where("quality is not null")
 
 
@@ -402,7 +407,7 @@ coalesce(sum(least(most, greatest(0, s - e93))) FILTER (over), 0)::BIGINT AS sav
 
 @query(SUMMARY_SQL)
 def preflight_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = table(spark, sf_dir, "documents").select(SIZE.alias("size_bytes"), (F.col("n_chars") % 1000 + 1).alias("width"), (F.col("n_chars") % 700 + 1).alias("height"), (SIZE > 0).alias("is_readable"), (F.col("doc_id") % 2 == 0).alias("is_jpeg"))
+    images = table(spark, sf_dir, "documents").select(image_size().alias("size_bytes"), (F.col("n_chars") % 1000 + 1).alias("width"), (F.col("n_chars") % 700 + 1).alias("height"), (image_size() > 0).alias("is_readable"), (F.col("doc_id") % 2 == 0).alias("is_jpeg"))
     return summary.preflight(images).select("files", "jpegs", "under_limit", "over_limit", "total_bytes", "over_bytes", "savings_low", "savings_high", "min_width", "max_height", F.col("avg_width").cast("long").alias("avg_width"))
 
 
@@ -587,7 +592,7 @@ def output_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = {"codec": F.lit("PNG"), "width": F.lit(10), "height": F.lit(10), "has_alpha": F.lit(True), "icc_sha256": F.lit("x")}
     actual = {
         "is_readable": d % 11 != 0, "codec": F.when(d % 7 == 0, "JPG").otherwise("PNG"), "width": F.when(d % 5 == 0, 9).otherwise(10), "height": F.lit(10), "has_alpha": F.lit(True),
-        "icc_sha256": F.when(d % 3 != 0, "x"), "size": SIZE,
+        "icc_sha256": F.when(d % 3 != 0, "x"), "size": image_size(),
     }
     return table(spark, sf_dir, "documents").select("doc_id", policy.verify_output(expected, actual).alias("fault"))
 

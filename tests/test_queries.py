@@ -1,6 +1,9 @@
 """Every query with SQL gives the rows that DuckDB gives; the others against brute force or plain properties."""
 
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -46,3 +49,10 @@ def test_entry(spark):
 def test_greedy_is_one_to_one(spark):
     rows = [r for r in QUERIES["greedy_matching"](spark, SF).collect() if not r.ambiguous]
     assert len({r.v_id for r in rows}) == len({r.s_id for r in rows}) == len(rows)
+
+
+def test_import_without_session():
+    """In a new process, where no session exists."""
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    root = Path(entry.__file__).resolve().parent
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120, check=False).returncode == 0
