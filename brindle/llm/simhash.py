@@ -15,7 +15,8 @@ again. So no link that joins two components is lost, and groups of copies cost l
 
 Rows: a null text has no words, as an empty one: fingerprint zero, which links as any other.
 A null doc_id is carried along and is never a component's id unless all are null. Repeated rows
-fall into one component. An empty table gives no rows. Further columns are ignored.
+fall into one component. An empty table gives no rows, and a table of one fingerprint no links; neither is planned for.
+Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -145,8 +146,8 @@ def allocate(costs: list[list[float]], total: int) -> list[int]:
 
 def plan(spark: SparkSession, fps: DataFrame, radius: int) -> tuple[list[list[int]], list[int]]:
     """Groups of bits and their thresholds, for the least estimated work."""
-    n, both = bit_statistics(fps)
-    p = both.diagonal() / max(1, n)
+    counted, both = bit_statistics(fps)
+    n, p = max(2, counted), both.diagonal() / max(1, counted)  # with no work at all, any thresholds would be cheapest
 
     def costs(groups: list[list[int]], equal: list[float]) -> list[list[float]]:
         """Pairs to verify and values to probe."""
@@ -156,11 +157,11 @@ def plan(spark: SparkSession, fps: DataFrame, radius: int) -> tuple[list[list[in
         return [n * n / 2 * float(np.prod(p[g] ** 2 + (1 - p[g]) ** 2)) for g in groups]
 
     def work(m: int) -> float:
-        groups = correlated_groups(n, both, m)
+        groups = correlated_groups(counted, both, m)
         table = costs(groups, guess(groups))
         return sum(c[t + 1] for c, t in zip(table, allocate(table, radius - m + 1), strict=True))
 
-    groups = correlated_groups(n, both, min(range(2, radius + 2), key=work))
+    groups = correlated_groups(counted, both, min(range(2, radius + 2), key=work))
     keys = fps.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), value(F.col("fp"), g).alias("v")) for i, g in enumerate(groups)))).alias("k")).groupBy("k.i", "k.v").count()
     measured = {r[0]: float(r[1]) for r in keys.groupBy("i").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2)).collect()}
     table = costs(groups, [measured.get(i, 0.0) for i in range(len(groups))])
@@ -233,7 +234,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, radius
     shared_dir(spark)
     rows = written(spark, with_fingerprint(docs.select("text", "doc_id"), words), "prints")
     fps = written(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-prints")
-    linked = written(spark, link(spark, fps, radius), "linked")
+    linked = written(spark, link(spark, fps, radius), "linked") if fps.limit(2).count() > 1 else spark.createDataFrame([], "node long, component long")
     member = fps.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     names = member.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(member.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
