@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.functions import binary, formatting, names, policy, subtitles, web
+from brindle.functions import binary, episodes, formatting, names, policy, subtitles, web
 from brindle.operators import matching, naming, similarity, tree
 from brindle.plans import actions
 
@@ -54,14 +54,17 @@ def test_log_interpolation(spark):
 
 @pytest.mark.parametrize(
     ("name", "want"),
-    [("Show S02E05", (2, 5)), ("Show Season 2 - 04", (2, 4)), ("Show 2x07", (2, 7)), ("[Group] Show - 12 [1080p]", (None, 12)), ("Show ep 3", (None, 3)), ("第12話", (None, 12)), ("Show 十二話", (None, 12)), ("Show #8", (None, 8)), ("Tập 9", (None, 9)), ("Show", None)],
+    [("Show S02E05", (2, 5)), ("Show Season 2 - 04", (2, 4)), ("Show 2x07", (2, 7)), ("[Group] Show - 12 [1080p]", (None, 12)), ("Show ep 3", (None, 3)), ("第12話", (None, 12)), ("Show 十二話", (None, 12)), ("Show #8", (None, 8)), ("Tập 9", (None, 9)), ("Show", None),
+     ("Show S2 - 14", (2, 14)), ("Show Season IV Episode II", (4, 2)), ("Show twenty one", (None, 21)), ("Show OVA 2", (None, 2)), ("Show Vol. 3", (None, 3)), ("07 - Show", (None, 7)), ("Show_-_08v2_(1280x720)", (None, 8)),
+     ("Show.11.mkv", (None, 11)), ("Show (2019) [05]", (None, 5)), ("第二十三話", (None, 23)), ("Show 4話", (None, 4)), ("Show S1 - 1080", None), ("Show.s03.e07", (3, 7))],
 )
 def test_episodes(name, want):
-    assert names.episode_of(name, name, None) == want
+    assert names.named_episode(name, name, None) == want
 
 
 def test_batches():
-    assert not names.detect_batch("Show Season 2 - 04") and names.detect_batch("Show - 01-12") and names.detect_batch("Show complete")
+    batch = episodes.is_batch
+    assert not batch("Show Season 2 - 04") and batch("Show - 01-12") and batch("Show complete") and batch("Show 01~12END") and not batch("Show 01-02") and not batch("Show S2 - 14")
 
 
 def test_majority(spark):
