@@ -1,14 +1,17 @@
 """Uniform sharding by a hypergeometric communication matrix.
 
-Entry (b, c) of the matrix says how many rows of block b (a partition of the input) go to cell
-c (a shard, or one of the equal parts of a large shard). It is drawn so that every row sum is
-the block's size and every column sum the cell's size, with the law that a uniform permutation
-of all rows would give. Each block permutes its rows locally and deals them out by its row of
-the matrix, one exchange brings them to their cells, and each cell permutes again: a uniform
-shuffle with exact shard sizes, in one exchange of the rows.
+Entry (b, s) of the matrix says how many rows of block b (a partition of the input) go to shard s. It
+is drawn so that every row sum is the block's size and every column sum the shard's size, with the
+law that a uniform permutation of all rows would give. Each block permutes its rows locally and deals
+them out by its row of the matrix, one exchange brings them to their shards, and each shard permutes
+again: a uniform shuffle with exact shard sizes, in one exchange of the rows.
+
+A shard of many rows is permuted in cells, ranges of the random keys that it sorts by: a row's cell
+is known before the exchange, so the cells' sizes are counted first and a cell's slots follow those of the
+cells before it. So the number of tasks grows with the rows and not with the shards.
 
 Everything on the rows is DataFrame operations; the driver draws the matrix, which has
-MAX_CELLS entries at most, whatever the input.
+MAX_ENTRIES entries at most, whatever the input: beyond, blocks are several partitions each.
 
 Rows: nulls in any column, repeated rows and empty texts are rows like any other, as a row's
 key is its place in its block; an empty table gives an empty table. Columns of the input named
@@ -22,14 +25,14 @@ import math
 import random
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import read_table, written
 
-#: Entries of the matrix: 128 MB when sent to each executor, and the driver's work.
-MAX_CELLS = 16_000_000
-#: Rows that one task of the last permutation sorts, as far as MAX_CELLS lets it.
+#: Entries of the matrix: 32 MB when sent to each executor, and the driver's work.
+MAX_ENTRIES = 4_000_000
+#: Rows that one task of the last permutation sorts, on average.
 CELL_ROWS = 200_000
 
 
@@ -81,39 +84,43 @@ def split_evenly(n: int, parts: int) -> list[int]:
     return [n * (k + 1) // parts - n * k // parts for k in range(parts)]
 
 
-def hypergeometric_shuffle(spark: SparkSession, docs: DataFrame, n_shards: int, seed: int = 42, cell_rows: int = CELL_ROWS) -> DataFrame:
+def hypergeometric_shuffle(spark: SparkSession, docs: DataFrame, n_shards: int, seed: int = 42, cell_rows: int = CELL_ROWS, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """All rows and columns of docs, with shard and slot: the place in a uniform permutation.
 
     Shard sizes are at most one apart, slots are gapless from 0. The rows are
     written once with their blocks and places, and counted and dealt from there, as another scan could cut other blocks.
     """
-    rows = docs.drop("shard", "slot").coalesce(max(1, MAX_CELLS // n_shards))
+    rows = docs.drop("shard", "slot").coalesce(max(1, max_entries // n_shards))
     ids = {"__block": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}
     permuted = rows.withColumns(ids).withColumn("__key", F.xxhash64(F.lit(seed), F.col("__row"))).sortWithinPartitions("__key", "__row")
     placed = written(spark, permuted.withColumn("__place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).drop("__key"), "placed")
     counts = {r[0]: r[1] for r in placed.groupBy("__block").count().collect()}
     blocks, total = sorted(counts), sum(counts.values())
-    parts = max(1, min(-(-total // (n_shards * cell_rows)), MAX_CELLS // max(1, n_shards * len(blocks))))
-    sizes = [split_evenly(n, parts) for n in split_evenly(total, n_shards)]
-    cells = [n for shard in sizes for n in shard]
-    matrix = communication_matrix([counts[b] for b in blocks], cells, random.Random(seed))
-    firsts = [sum(shard[:k]) for shard in sizes for k in range(parts)]
+    matrix = communication_matrix([counts[b] for b in blocks], split_evenly(total, n_shards), random.Random(seed))
 
     def literal(x, kind: str):
         return F.from_json(F.lit(json.dumps(x)), kind)
 
     bounds = [list(accumulate(counts_b)) for counts_b in matrix]
-    # One row for each block, MAX_CELLS numbers in all: a proven bound for the broadcast.
+    # One row for each block, MAX_ENTRIES numbers in all: a proven bound for the broadcast.
     lookup = spark.range(1).select(F.posexplode(literal(bounds, "array<array<bigint>>")).alias("at", "__bounds"), literal(blocks, "array<int>").alias("blocks")).select(F.element_at("blocks", F.col("at") + 1).alias("__block"), "__bounds")
-    dealt = placed.join(F.broadcast(lookup), "__block").withColumn("__cell", _cell_of(F.col("__bounds"), F.col("__place"), len(cells))).drop("__bounds", "__place", "__block")
-    exchanged = dealt.repartitionById(len(cells), F.col("__cell"))
-    again = exchanged.withColumn("__key", F.xxhash64(F.lit(seed + 1), F.col("__row"))).sortWithinPartitions("__cell", "__key", "__row")
-    slot = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + F.element_at(literal(firsts, "array<bigint>"), F.col("__cell") + 1)
-    return again.withColumn("slot", slot).withColumn("shard", F.floor(F.col("__cell") / parts).cast("int")).drop("__cell", "__key", "__row")
+    parts = max(1, -(-total // (n_shards * cell_rows)))
+    key = F.xxhash64(F.lit(seed + 1), F.col("__row"))
+    # The key's upper bits, as a share of the parts: cells are ranges of keys.
+    cell = F.col("shard") * parts + F.shiftrightunsigned(F.shiftrightunsigned(key, 33) * parts, 31).cast("int")
+    dealt = placed.join(F.broadcast(lookup), "__block").withColumn("shard", _cell_of(F.col("__bounds"), F.col("__place"), n_shards)).drop("__bounds", "__place", "__block")
+    keyed = dealt.withColumns({"__key": F.shiftrightunsigned(key, 1), "__cell": cell})
+    # One row for each CELL_ROWS rows or each shard: 1 MB for ten billion rows.
+    sizes = keyed.groupBy("shard", "__cell").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = sizes.select(F.col("__cell").alias("__c"), before.alias("__first"))
+    again = keyed.repartitionById(n_shards * parts, F.col("__cell")).sortWithinPartitions("__cell", "__key", "__row")
+    slotted = again.withColumn("slot", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).join(F.broadcast(firsts), F.col("__cell") == F.col("__c"))
+    return slotted.withColumn("slot", F.col("slot") + F.col("__first")).drop("__cell", "__key", "__row", "__c", "__first")
 
 
 def _cell_of(bounds: Column, place: Column, n: int) -> Column:
-    """The first cell whose bound is over the place: a binary search."""
+    """The first shard whose bound is over the place: a binary search."""
 
     def halve(s: Column, _: Column) -> Column:
         mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
