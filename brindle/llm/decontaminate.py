@@ -29,7 +29,8 @@ from brindle.llm.common import read_table
 Q = 8
 #: Edits allowed, as a share of the characters.
 EDITS = 0.08
-PROBE = 128
+#: Characters of a probe: any 96 that a text takes from an item hold a whole one.
+PROBE = 64
 BLOCK_CHARS = 2_000_000
 #: Characters of texts that are searched at once.
 CHUNK = 1 << 20
