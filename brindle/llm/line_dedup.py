@@ -1,9 +1,10 @@
 """Line dedup by a deletion-neighbourhood join. DataFrame operations only.
 
 Lines compare with white space as one space. A line goes if an equal line stands in a document with a
-smaller doc_id or further up in the same text, or if a line within one edit of a word stands in
-a document with a smaller doc_id. Lines of under MIN_WORDS words are left alone; lines of under
-NEAR_WORDS words only go for equal ones.
+smaller doc_id or further up in the same text, or if a line within the edit bound stands in
+a document with a smaller doc_id. The edit bound is one word in lines of ``near_words`` or more, which is
+the share of edits that counts as near (one word in ten), and none in shorter ones. Lines without words stay;
+``min_words`` can spare short lines too, which by default it doesn't.
 
 Two lines are within one edit of a word (one put in, left out or replaced) only if they share a
 variant: the line itself or the line without one of its words. Variants are emitted as hashed
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import WORD_GAP, read_table, written
 
-MIN_WORDS, NEAR_WORDS = 3, 10
+#: The least words of a line that may go, and of one that may differ by a word.
+MIN_WORDS, NEAR_WORDS = 1, 10
 LAST = (1 << 63) - 1
 #: Bits of a hashed pair: sums over lines of millions of words stay in 64 bits.
 PAIR_BITS = 40
@@ -42,7 +44,7 @@ def _order() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, text_hash, line, norm): the lines of each text that count; doc: doc_id, or the last number for none."""
     raw = F.col("raw")
     odd = F.startswith(raw, F.lit(" ")) | F.endswith(raw, F.lit(" "))
@@ -50,7 +52,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
         odd = odd | F.contains(raw, F.lit(gap))
     norm = F.when(odd, F.trim(F.regexp_replace(raw, WORD_GAP, " "))).otherwise(raw)
     rows = docs.where("text is not null").select(_order().alias("doc"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    return rows.select("doc", "text_hash", "line", norm.alias("norm")).where(n_words("norm") >= MIN_WORDS)
+    return rows.select("doc", "text_hash", "line", norm.alias("norm")).where(n_words("norm") >= max(1, min_words))
 
 
 def n_words(norm: str) -> Column:
@@ -65,11 +67,11 @@ def _named(lines: DataFrame) -> DataFrame:
 HALVES = {"first": (0, 1), "second": (0, -1), "first_longer": (1, 1), "second_longer": (1, -1)}
 
 
-def _halves() -> dict[str, Column]:
+def _halves(near_words: int) -> dict[str, Column]:
     """Hashes of the halves, with the words of the shorter line; null for lines of too few words."""
-    near = F.col("n") >= NEAR_WORDS
+    near = F.col("n") >= near_words
     half = lambda less, sign: F.expr(f"substring_index(norm, ' ', {sign} * ((n - {less}) div 2))")
-    return {name: F.when(near & (F.col("n") - less >= NEAR_WORDS), F.xxhash64(F.col("n") - less, F.lit(sign), half(less, sign))) for name, (less, sign) in HALVES.items()}
+    return {name: F.when(near & (F.col("n") - less >= near_words), F.xxhash64(F.col("n") - less, F.lit(sign), half(less, sign))) for name, (less, sign) in HALVES.items()}
 
 
 def with_partners(distinct: DataFrame) -> DataFrame:
@@ -105,11 +107,11 @@ def _within_one_edit(a: Column, b: Column) -> Column:
     return first_difference(a, b) + first_difference(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1
 
 
-def near_lines(spark: SparkSession, docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def near_lines(spark: SparkSession, docs: DataFrame, distinct: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(h, len, near): the smallest doc that a line within one edit stands in."""
     partners = written(spark, with_partners(distinct), "partners")
     small = partners.count() <= BROADCAST_ROWS
-    found = _named(lines_of(docs)).select("norm", *LINE).join(F.broadcast(partners) if small else partners, LINE)
+    found = _named(lines_of(docs, min_words)).select("norm", *LINE).join(F.broadcast(partners) if small else partners, LINE)
     candidates = written(spark, found.groupBy(*LINE, "doc", *HALVES).agg(F.min("norm").alias("norm")), "candidates")
     keys = written(spark, variants(candidates), "variants")
     out = keys.where("place >= 0")
@@ -127,12 +129,12 @@ def near_lines(spark: SparkSession, docs: DataFrame, distinct: DataFrame) -> Dat
     return verified.groupBy(*LINE).agg(F.min("near").alias("near"))
 
 
-def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def removed_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """(doc, text_hash, gone): the numbers of the lines that go, for texts that lose any."""
-    named = _named(lines_of(docs)).withColumn("n", n_words("norm"))
-    lines = written(spark, named.select("doc", "text_hash", "line", *LINE, *(c.alias(k) for k, c in _halves().items())), "lines")
+    named = _named(lines_of(docs, min_words)).withColumn("n", n_words("norm"))
+    lines = written(spark, named.select("doc", "text_hash", "line", *LINE, *(c.alias(k) for k, c in _halves(max(2, near_words)).items())), "lines")
     distinct = written(spark, lines.groupBy(*LINE).agg(F.min("doc").alias("doc"), F.count("*").alias("n"), *(F.min(k).alias(k) for k in HALVES)), "distinct-lines")
-    near_by = near_lines(spark, docs, distinct)
+    near_by = near_lines(spark, docs, distinct, min_words)
     repeated = distinct.join(near_by, LINE, "left").where("n > 1 or near is not null").select(*LINE, F.least("doc", "near").alias("earliest"))
     hits = lines.select("doc", "text_hash", "line", *LINE).join(repeated, LINE).repartition("doc", "text_hash")
     again = F.col("line") > F.min("line").over(Window.partitionBy("doc", "text_hash", *LINE))
@@ -140,13 +142,16 @@ def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc", "text_hash").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """docs with the lines that stay as text, and n_lines and n_removed."""
-    removed = removed_lines(spark, docs.select("doc_id", "text")).select(F.col("doc").alias("__d"), F.col("text_hash").alias("__h"), F.col("gone").alias("__gone"))
+    removed = removed_lines(spark, docs.select("doc_id", "text"), min_words, near_words).select(F.col("doc").alias("__d"), F.col("text_hash").alias("__h"), F.col("gone").alias("__gone"))
     own = docs.drop("n_lines", "n_removed").withColumns({"__doc": _order(), "__hash": F.xxhash64("text")})
     joined = own.join(removed, (F.col("__doc") == F.col("__d")) & (F.col("__hash") == F.col("__h")), "left").drop("__doc", "__hash", "__d", "__h")
     raw = F.split("text", "\n")
-    kept = F.array_join(F.filter(raw, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    gone = F.array_sort("__gone")
+    # The stretches between lines that go: linear in the lines.
+    first = lambda i: F.coalesce(F.get(gone, i - 1) + 1, F.lit(0))
+    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("__gone")), lambda i: F.slice(raw, first(i) + 1, F.coalesce(F.get(gone, i), F.size(raw)) - first(i)))), "\n")
     out = joined.withColumns({"n_lines": F.coalesce(F.size(raw), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
     return out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).drop("__gone")
 
