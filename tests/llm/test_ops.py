@@ -274,7 +274,7 @@ def test_line_dedup(spark, docs, empty):
     first = {}
     for (i, _), ls in lines.items():
         for x in ls:
-            if len(x) >= 3:
+            if x:
                 first[x] = min(top if i is None else i, first.get(x, top))
     want = []
     for i, t in rows:
@@ -282,7 +282,7 @@ def test_line_dedup(spark, docs, empty):
         for raw, x in zip((t or "").split("\n"), lines[(i, t)], strict=True):
             d = top if i is None else i
             near = any(m < d and len(x) >= 10 and len(y) >= 10 and within_one(x, y) for y, m in first.items() if abs(len(x) - len(y)) <= 1)
-            if not (len(x) >= 3 and (first[x] < d or x in seen or near)):
+            if not (x and (first[x] < d or x in seen or near)):
                 kept.append(raw)
             seen.add(x)
         want.append((i, None if t is None else "\n".join(kept)))
@@ -300,11 +300,11 @@ def test_decontaminate(spark, docs, empty):
         for _ in range(int(0.04 * len(chars))):
             chars[rng.integers(len(chars))] = "q"
         rows += [(1000 + i, sentence(i, 20) + "\n" + items[i][1].upper() + " end"), (1010 + i, sentence(i, 500) + " " + "".join(chars) + " x")]
-    rows += [(1020, "clean " + sentence(77, 400)), (1021, "here qzj is"), (1022, items[0][1][:60])]
+    rows += [(1020, "clean " + sentence(77, 400)), (1021, "here qzj is"), (1022, items[0][1][:40]), (1023, "x " + items[0][1][10:110])]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(spark, df, bench).collect()}
-    assert set(got) == {(1000 + i, i) for i in range(5)} | {(1010 + i, i) for i in range(5)} | {(1021, 11)}
+    assert set(got) == {(1000 + i, i) for i in range(5)} | {(1010 + i, i) for i in range(5)} | {(1021, 11), (1023, 0)}
     assert all(got[(1000 + i, i)].edits == 0 and got[(1010 + i, i)].edits > 0 for i in range(5))
     assert decontaminate.contaminated(spark, empty, bench).count() == 0 == decontaminate.contaminated(spark, df, bench.where("item_id < 0")).count()
 
@@ -340,3 +340,17 @@ def test_digest_columns(spark):
         payload = transport_stream.payload_of(documents.loc[r.doc_id].text)
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:]) and r.payload_bytes == len(payload)
         assert r.media_sha256 == hashlib.sha256(transport_stream.mux(payload)).hexdigest()
+
+
+def test_simhash_of_tiny_tables(spark, empty):
+    assert simhash.near_duplicates(spark, empty.select("doc_id", "text"), 4, 4).count() == 0
+    one = simhash.near_duplicates(spark, spark.createDataFrame([(7, "a b c d e"), (3, "a b c d e")], "doc_id long, text string"), 4, 4).collect()
+    assert [r.component_id for r in one] == [3, 3]
+
+
+def test_pii_single_entities(spark):
+    """Entities that stand once each are judged by their kind and group."""
+    rows = [(i, f"reachable zephyrine under user{i}@mail{i % 2}.org now {sentence(i, 5)}") for i in range(12)] + [(100 + i, f"reachable now {sentence(i, 9)}") for i in range(60)]
+    out = {r.doc_id: r for r in pii.sanitise(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("zephyrine" in {out[i].text[t.start : t.end] for t in out[i].terms} for i in range(12))
+    assert all("reachable" not in {r.text[t.start : t.end] for t in r.terms} for r in out.values())

@@ -59,3 +59,37 @@ def test_only_contaminated_rows_go(spark):
     rows = [(None, item), (None, clean[0]), (5, clean[1]), (5, "see " + item), (6, clean[2]), (None, None)]
     out = corpus_pipeline.decontamination(spark, frame(spark, rows), sf).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in out) == sorted([(0, clean[0]), (5, clean[1]), (6, clean[2]), (0, "")])
+
+
+def test_large_mixed_buckets(spark, monkeypatch):
+    """Every pair of the similarity is linked when buckets are large and hardly anything links to pivots."""
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(shingles, "LARGE", 4)
+    monkeypatch.setattr(shingles, "EASY", 0)
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    base, rows = [rng.choice(words) for _ in range(60)], []
+    for k in range(120):
+        text = list(base)
+        for _ in range(rng.choice((1, 2, 3, 4))):
+            text[rng.randrange(60)] = rng.choice(words)
+        rows.append((k, " ".join(text)))
+    texts = spark.createDataFrame([(f"{k:03}", t) for k, t in rows], "node string, text string")
+    shared = {r.node: r.component for r in shingles.link(spark, texts, 5, 0.8).collect()}
+    sets = [np.unique(shingles.shingle_hashes(t, 5)) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if shingles.similarity(sets[i], sets[j]) >= 0.8:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    want = {f"{k:03}": f"{root(k):03}" for k in range(len(rows))}
+    assert {k: shared.get(k, k) for k in want} == want and len(set(want.values())) < len(rows)
