@@ -15,10 +15,11 @@ CHUNK = 64 * 1024
 
 
 def signature(content: bytes, size: int | None = None) -> str:
-    """A digest of the size and of a chunk at the start, the end and the middle."""
+    """A digest of the size and of a chunk at the start, the end and, beyond two chunks, the middle."""
     size = len(content) if size is None else size
     h = hashlib.blake2b(size.to_bytes(8, "little"), digest_size=16)
-    for at in dict.fromkeys((0, max(0, size - CHUNK), max(0, size // 2 - CHUNK // 2))):
+    starts = [0, max(0, size - CHUNK), *([size // 2 - CHUNK // 2] if size > 2 * CHUNK else [])]
+    for at in dict.fromkeys(starts):
         h.update(at.to_bytes(8, "little") + content[at : at + CHUNK])
     return h.hexdigest()
 

@@ -202,8 +202,9 @@ def shrink_step(width: Column, height: Column, least: int = 640, factor: float =
 
 
 def palette_quality(colours: Column) -> Column:
-    """struct(quality, lossless) that stands for a palette of so many colours."""
-    return F.struct(clamp(F.bround(colours / 256.0 * 94).cast("int"), 1, 94).alias("quality"), F.lit(False).alias("lossless"))
+    """struct(quality, lossless) that stands for a palette of so many colours; lossless at full quality for none."""
+    quality = F.when(colours.isNull(), 100).otherwise(clamp(F.bround(colours / 256.0 * 94).cast("int"), 1, 94))
+    return F.struct(quality.alias("quality"), colours.isNull().alias("lossless"))
 
 
 def first_error(*checks: tuple[Column, str]) -> Column:
@@ -250,3 +251,52 @@ def has_alpha(pixel_format: Column) -> Column:
 
 def chroma(pixel_format: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(F.lower(pixel_format), "yuva?j?(4[124][0-4])", 1), F.lit("")), F.lit("none"))
+
+
+def encoders(image: dict[str, Column], has_library: bool = True, prefer_library: bool = False, strip_metadata: bool = True, keep_icc: bool = True, progressive: bool = False) -> Column:
+    """struct(order, error): which encoders to try, library or tool, or why there is none.
+
+    image: codec, has_icc, has_alpha, bit_depth, orientation and colours (of a palette, or null).
+    """
+    codec, png, jpg = image["codec"], image["codec"] == "PNG", image["codec"] == "JPG"
+    icc, palette, deep = F.lit(keep_icc) & image["has_icc"], png & image["colours"].isNotNull(), png & (F.coalesce(image["bit_depth"], F.lit(0)) > 8)
+    needs_library = F.lit(not strip_metadata) | icc | (jpg & image["has_alpha"])
+    error = first_error((F.lit(not has_library) & needs_library, "library_required"), (F.lit(not has_library) & palette, "library_required_for_palette"), (deep & icc, "deep_png_with_profile"))
+    names = lambda *x: F.array(*map(F.lit, x))
+    library_first = F.lit(prefer_library) | png | needs_library | (F.lit(progressive) & jpg) | ~codec.isNull() & ~image["orientation"].isin(0, 1)
+    order = F.when(deep, names("tool")).when(F.lit(not has_library), names("tool")).when(needs_library | palette, names("library")).when(library_first, names("library", "tool")).otherwise(names("tool", "library"))
+    return F.struct(F.when(error.isNull(), order).alias("order"), error.alias("error"))
+
+
+def under_limit(is_jpeg: Column, cleaned: Column, changed: Column, icc_kept: Column, size: Column, copy: bool = True, dry_run: bool = False, strip: bool = True) -> Column:
+    """struct(status, variant) of an image that is small enough: sanitised only if that worked, changed something and kept the profile."""
+    tried = F.lit(strip) & is_jpeg
+    good = tried & cleaned & icc_kept
+    variant = F.when(good & changed, "marker-sanitized").when((tried & ~good) | (F.lit(strip) & ~is_jpeg), "exact-copy-metadata-retained").otherwise("exact-copy")
+    status = F.when(F.lit(not copy), "skipped_under_limit").when(F.lit(dry_run), "dry_run").when(~acceptable(size), "encode").when(good & changed, "sanitized").otherwise("copied")
+    return F.struct(status.alias("status"), F.when(status.isin("sanitized", "copied"), variant).alias("variant"))
+
+
+def final_webp(codec: Column, backend: Column, method: Column, size: Column, final_size: Column, final_method: int = 6) -> Column:
+    """Bytes to keep: the retry's at the final method if there is one to make and it is acceptable, else the best so far."""
+    retried = (codec == "WEBP") & (backend != "copy") & (method != final_method)
+    return F.when(retried & acceptable(final_size), final_size).otherwise(size)
+
+
+def attempt_key(codec: Column, quality: Column, scale: Column, width: Column, height: Column, lossless: Column, method: Column, colours: Column) -> Column:
+    """What tells attempts apart: settings that don't matter for a codec are left out."""
+    effective = F.when((codec == "PNG") & colours.isNotNull(), F.concat(F.lit("palette:"), colours.cast("string"))).when(codec == "PNG", "lossless").when((codec == "WEBP") & lossless, F.concat(F.lit("lossless:"), method.cast("string"))).otherwise(F.concat(F.lit("quality:"), quality.cast("string")))
+    return F.struct(codec.alias("codec"), effective.alias("setting"), F.round(scale, 6).alias("scale"), width.alias("width"), height.alias("height"))
+
+
+#: What stays free of a disk, as a share and in bytes; the longest path.
+DISK_SHARE, DISK_BYTES, PATH_LIMIT = 0.05, 2 * 1024**3, 250
+
+
+def admitted(free: Column, total: Column, in_flight: Column, need: Column) -> Column:
+    """Whether a job that needs so many bytes leaves the margin free."""
+    return free - in_flight - need >= F.greatest(total * DISK_SHARE, F.lit(float(DISK_BYTES)))
+
+
+def path_fits(path: Column, limit: int = PATH_LIMIT) -> Column:
+    return F.char_length(path) <= limit

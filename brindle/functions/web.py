@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -148,10 +151,6 @@ def error_summary(log: Column, banner: str = "^(ffmpeg version|  built with|  co
 
 def unpacked_script():
     """A UDF: the script that a p,a,c,k,e,d packer hides; null if it isn't one."""
-    import re
-
-    import pandas as pd
-
     shape = re.compile(r"\}\('(.*?)',\s*(\d+),\s*(\d+),\s*'(.*?)'\.split\('\|'\)", re.S)
     digits = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -175,3 +174,36 @@ def unpacked_script():
         return scripts.map(one)
 
     return unpack
+
+
+def anchors(html: Column) -> Column:
+    """array of struct(url, name) of the page's links, each URL once: the link's text, else its image's alternative text."""
+    shape = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
+    urls, inner = (F.regexp_extract_all(html, F.lit(shape), F.lit(k)) for k in (1, 2))
+    text = lambda x: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), r"\s+", " ")), F.lit(""))
+    alt = lambda x: F.nullif(F.regexp_extract(x, r"""(?is)<img\s[^>]*?alt\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
+    every = F.zip_with(urls, inner, lambda u, x: F.struct(u.alias("url"), F.coalesce(text(x), alt(x)).alias("name")))
+    return F.filter(every, lambda x, i: F.array_position(urls, x["url"]) == i + 1)
+
+
+def media_source(html: Column) -> Column:
+    """The address that a player's source list begins with; null if there is none."""
+    return F.nullif(F.regexp_extract(html, r'sourcesCode:\s*\[\{\s*src:\s*"([^"]+)",\s*type:', 1), F.lit(""))
+
+
+def signed_video(html: Column) -> Column:
+    """The path of a signed video request in a script; null if there is none."""
+    parts = [F.regexp_extract(html, r"get_video\?id=([^&']+)&expires=([^&']+)&ip=([^&']+)&token=([^&']+)", k) for k in range(1, 5)]
+    return F.when(parts[0] != "", F.concat(F.lit("/get_video?id="), parts[0], F.lit("&expires="), parts[1], F.lit("&ip="), parts[2], F.lit("&token="), parts[3]))
+
+
+def first_and_more(items: Column, n: int = 10) -> Column:
+    """The first items a line each, and how many more there are."""
+    head = F.array_join(F.slice(items, F.lit(1), F.lit(n)), "\n")
+    return F.when(F.size(items) > n, F.concat(head, F.lit("\n… and "), (F.size(items) - n).cast("string"), F.lit(" more"))).otherwise(head)
+
+
+def progress_seconds(line: Column) -> Column:
+    """Seconds of a time=H:M:S mark; null if there is none."""
+    h, m, s = (F.regexp_extract(line, r"time=(\d+):(\d+):(\d+(?:\.\d+)?)", k).try_cast("double") for k in (1, 2, 3))
+    return h * 3600 + m * 60 + s

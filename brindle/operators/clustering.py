@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.graph import numbered
+
 
 def chained_clusters(df: DataFrame, by: list[str], value: Column, tolerance: float, order: list[str]) -> DataFrame:
     """df with cluster (from 1 within by) and cluster_size: a new one where the gap to the value before is over the tolerance."""
@@ -57,8 +59,8 @@ def reclaimable(members: DataFrame, group: str, item: str, size: str, keeper: Da
 def equal_groups(df: DataFrame, key: Column, item: str, name: Column) -> DataFrame:
     """(key, n, first, number): groups of two and more, numbered by count and then name, descending."""
     groups = df.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min(F.struct(F.col(item).alias("item"), name.alias("name"))).alias("f")).where("n > 1")
-    number = F.row_number().over(Window.orderBy(F.desc("n"), F.desc("f.name"), F.desc("key")))
-    return groups.select("key", "n", F.col("f.item").alias("first"), number.alias("number"))
+    named = groups.select("key", "n", F.col("f.item").alias("first"), F.col("f.name").alias("__name"))
+    return numbered(named, [F.desc("n"), F.desc("__name"), F.desc("key")]).drop("__name")
 
 
 def local_maxima(value: Column, by: list[str], order: list[str], least: float) -> Column:

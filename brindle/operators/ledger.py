@@ -59,3 +59,29 @@ def deltas(at: Column, by: list[str], order: str, wait_s: float) -> Column:
     """Seconds to wait so that items of a key are so far apart."""
     gap = at.cast("double") - F.lag(at.cast("double")).over(Window.partitionBy(*by).orderBy(order))
     return F.greatest(F.lit(0.0), wait_s - F.coalesce(gap, F.lit(float(wait_s))))
+
+
+def open_failures(entries: DataFrame, key: str) -> DataFrame:
+    """Failed entries whose key has no success."""
+    done = entries.where("status = 'success'").select(key).distinct()
+    return entries.where("status = 'failed'").join(done, key, "left_anti")
+
+
+def chosen(items: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The wanted items; all if none is wanted."""
+    return items if wanted.isEmpty() else items.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def prepared(paths: DataFrame, path: str, folded: Column) -> DataFrame:
+    """One row for each path as it compares, the first by code point, in order."""
+    return paths.groupBy(folded.alias("__folded")).agg(F.min(path).alias(path)).orderBy("__folded").select(path)
+
+
+def with_new(listed: DataFrame, new: DataFrame, column: str) -> DataFrame:
+    """A sorted list of different values with new ones put in."""
+    return listed.select(column).unionByName(new.select(column)).distinct().orderBy(column)
+
+
+def distinct_orders(df: DataFrame, items: str) -> DataFrame:
+    """One row for each set of items, whatever their order: the least order."""
+    return df.groupBy(F.array_sort(items).alias("__set")).agg(F.min(items).alias(items)).select(items)

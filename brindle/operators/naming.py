@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.operators.graph import cut_lineage
+from brindle.operators.graph import cut_lineage, numbered
 
 #: How a name gets its number: pattern, and the number of the second one.
 STYLES = {"copy": ("{stem} ({n}){ext}", 1), "index": ("{stem}({n}){ext}", 0), "encoded": ("{stem}_encoded_{n}{ext}", 2), "plain": ("{stem}_{n}{ext}", 2)}
@@ -63,4 +63,5 @@ def prefixed_on_collision(df: DataFrame, name: str, parents: str, order: list[st
 
 def file_register(nodes: DataFrame, order: list[str], shown: int = 100) -> DataFrame:
     """nodes with file_id in order of discovery and the last characters of the name."""
-    return nodes.withColumn("file_id", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("shown", F.right("name", F.lit(shown)))
+    told = numbered(nodes, [F.col(c) for c in order], "file_id")
+    return told.withColumn("file_id", F.col("file_id") - 1).withColumn("shown", F.right("name", F.lit(shown)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import policy
@@ -100,5 +100,18 @@ def replaced(original: DataFrame, replacement: DataFrame, key: str, order: str)
     return joined.select(*columns).orderBy(order)
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+def memoised(attempts: DataFrame, key: Column, order: str) -> DataFrame:
+    """The first attempt of each key: later ones with the same settings needn't be made."""
+    every = F.struct(*attempts.columns)
+    return attempts.groupBy(key.alias("__key")).agg(F.min_by(every, order).alias("first")).select("first.*")
+
+
+def file_rows(pairs: DataFrame) -> DataFrame:
+    """Pairs as rows of files: (path, other, size, duration_s, width, height, kept)."""
+    side = lambda a, b, kept: pairs.select(F.col(a).alias("path"), F.col(b).alias("other"), *(F.col(f"{a}_{c}").alias(c) for c in ("size", "duration_s", "width", "height")), F.lit(kept).alias("kept"))
+    return side("original", "duplicate", True).unionByName(side("duplicate", "original", False))
+
+
+def largest_by_path(pairs: DataFrame) -> DataFrame:
+    """(path, size, area): the greatest that any pair says of a file."""
+    return file_rows(pairs).groupBy("path").agg(F.max("size").alias("size"), F.max(F.col("width").cast("long") * F.col("height")).alias("area"))

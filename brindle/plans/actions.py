@@ -61,6 +61,17 @@ def encode_or_remux(probes: DataFrame) -> DataFrame:
     )
 
 
+def active(episodes: DataFrame, only_active: bool = True) -> DataFrame:
+    return episodes.where("is_active") if only_active else episodes
+
+
+def stream_arguments(audio_codecs: Column, subtitle_codecs: Column) -> Column:
+    """struct(audio, subtitle): copy or a codec to convert to; null for nothing to map."""
+    audio = F.when(F.size(audio_codecs) <= 0, F.lit(None)).when(policy.audio_copyable(audio_codecs), "copy").otherwise("aac")
+    plan = policy.subtitle_plan(subtitle_codecs)
+    return F.struct(audio.alias("audio"), F.when(plan.isin("copy", "mov_text"), plan).alias("subtitle"))
+
+
 def rate_arguments(kbps: Column) -> Column:
     """struct(maxrate, bufsize) for a bitrate."""
     return F.struct((kbps * 1.5).cast("int").alias("maxrate"), (kbps * 2.0).cast("int").alias("bufsize"))
@@ -75,7 +86,7 @@ def image_status(readable: Column, size: Column, same_format: Column, copy_only:
     )
 
 
-#: Qualities that each strategy tries before it searches: (strategy, phase, qualities).
+#: The qualities that each strategy tries before it searches: (strategy, phase, qualities).
 LADDERS = [("A", 1, [95, 93, 90, 88, 85]), ("A", 2, list(range(84, 34, -1))), ("B", 1, [97, 95, 92, 90]), ("B", 2, list(range(89, 34, -1))), ("C", 1, list(range(97, 34, -1))), ("D", 1, [95, 92, 90, 86, 82, 78]), ("D", 2, list(range(89, 34, -1)))]
 
 

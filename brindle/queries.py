@@ -254,7 +254,7 @@ def nfkc_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(names.nfkc(F.col("text"))).alias("digest"), F.md5(names.nfc_casefold(F.col("text"))).alias("folded"))
 
 
-@query()
+@query("SELECT p_partkey, (p_partkey % 4 + 1)::INT AS season, (p_size % 24 + 1)::INT AS episode, false AS is_batch FROM part")
 def episode_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").withColumn("name", F.format_string("%s S%02d - %02d [1080p]", "p_name", (F.col("p_partkey") % 4 + 1).cast("int"), (F.col("p_size") % 24 + 1).cast("int")))
     told = parts.withColumn("f", names.episode_features(F.col("name"), names.special_type(F.col("name"))))
@@ -539,14 +539,15 @@ def grid_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, r, c) for i, (r, c) in enumerate(path)], "step int, row int, col int")
 
 
-@query("SELECT conv_id, turn, printf('%02d:%02d:%02d,%02d0', turn // 60 % 24, turn % 60, conv_id % 60, conv_id % 100) AS start, trim(replace(split_part(text, chr(10), 1), chr(9), ' ')) AS line FROM conversations WHERE trim(replace(split_part(text, chr(10), 1), chr(9), ' ')) <> ''")
+@query("SELECT conv_id, turn, printf('%02d:%02d:%02d,%02d0', turn // 60 % 24, turn % 60, conv_id % 60, conv_id % 100) AS start, trim(replace(text, chr(9), ' '), ' ' || chr(10)) AS line FROM conversations WHERE trim(replace(text, chr(9), ' '), ' ' || chr(10)) <> ''")
 def ass_to_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as dialogue lines with tags, back to cues."""
-    first = F.replace(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("\t"), F.lit(" "))
+    """Turns as dialogue lines with tags, back to cues; a turn's lines are joined by the mark for line ends."""
+    whole = F.replace(F.replace("text", F.lit("\t"), F.lit(" ")), F.lit("\n"), F.lit("\\N"))
     time = F.format_string("%d:%02d:%02d.%02d", F.floor(F.col("turn") / 60) % 24, F.col("turn") % 60, F.col("conv_id") % 60, F.col("conv_id") % 100)
-    line = F.concat(F.lit("Dialogue: 0,"), time, F.lit(","), time, F.lit(",Default,,0,0,0,,{\\i1}"), first, F.lit("{\\i0}"))
+    line = F.concat(F.lit("Dialogue: 0,"), time, F.lit(","), time, F.lit(",Default,,0,0,0,,{\\i1}"), whole, F.lit("{\\i0}"))
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", subtitles.dialogue_parts(line).alias("d"))
-    return told.select("conv_id", "turn", subtitles.srt_time(F.col("d.start")).alias("start"), subtitles.strip_tags(F.col("d.text")).alias("line")).where("line != ''")
+    line = F.btrim(subtitles.strip_tags(F.col("d.text")), F.lit(" \n"))
+    return told.select("conv_id", "turn", subtitles.srt_time(F.col("d.start")).alias("start"), line.alias("line")).where("line != ''")
 
 
 @query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 'user' WHEN 'system' THEN 'Default' WHEN 'tool' THEN 'sign' ELSE 'main' END AS style FROM conversations")
@@ -611,10 +612,15 @@ def prefix_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.prefixed_on_collision(parts, "name", "parents", ["p_partkey"]).select("p_partkey", "target")
 
 
-@query("SELECT o_orderkey, CASE WHEN d <= 10 THEN 1 WHEN d <= 20 THEN 2 ELSE 5 END::BIGINT AS clips FROM (SELECT o_orderkey, o_totalprice / 1000 AS d FROM orders) WHERE d <= 20 OR d > 100")
+#: Start points over all orders: shares of the duration, clamped to the end, each kept if over half a second from the last one kept.
+_POINTS = "list_transform([0.1, 0.3, 0.5, 0.7, 0.9], lambda p: CASE WHEN d * p::DOUBLE + 10 > d THEN greatest(0.0, d - 10) ELSE d * p::DOUBLE END)"
+_SPREAD = "list_reduce(list_prepend([x[1]], list_transform(x[2:], lambda v: [v])), lambda s, v: CASE WHEN abs(s[-1] - v[1]) <= 0.5 THEN s ELSE list_concat(s, v) END)"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN d <= 10 THEN 1 WHEN d <= 20 THEN 2 ELSE len({_SPREAD}) END::BIGINT AS clips FROM (SELECT o_orderkey, d, {_POINTS} AS x FROM (SELECT o_orderkey, o_totalprice / 1000 AS d FROM orders))")
 def sample_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("o_totalprice") / 1000
-    return table(spark, sf_dir, "orders").where((d <= 20) | (d > 100)).select("o_orderkey", F.size(policy.sample_starts(d)).cast("long").alias("clips"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.size(policy.sample_starts(d)).cast("long").alias("clips"))
 
 
 @query("""WITH s AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS cue FROM conversations WHERE role <> 'system'), b AS (SELECT conv_id, cue, cue::VARCHAR || chr(10) || '00:00:' || lpad((turn % 60)::VARCHAR, 2, '0') || ',000 --> 00:00:' || lpad((turn % 60)::VARCHAR, 2, '0') || ',000' || chr(10) || role || chr(10) || chr(10) AS block FROM s)

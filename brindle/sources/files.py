@@ -10,7 +10,10 @@ from brindle.functions.names import SUBTITLE_EXTENSIONS, nfc_casefold
 # What each scan takes and skips.
 VIDEO_SCAN = [".mp4", ".mkv", ".avi", ".mov", ".wmv"]
 CONVERTIBLE = [".mkv", ".avi", ".mov", ".wmv", ".flv", ".webm", ".m4v", ".ts"]
-BUDGET_SCAN = ".3g2 .3gp .asf .avi .divx .dv .f4v .flv .m2t .m2ts .m4v .mkv .mov .mp4 .mpeg .mpg .mts .mxf .ogm .ogv .rm .rmvb .ts .vob .webm .wmv".split()
+BUDGET_SCAN = [
+    ".3g2", ".3gp", ".asf", ".avi", ".divx", ".dv", ".f4v", ".flv", ".m2t", ".m2ts", ".m4v", ".mkv", ".mov", ".mp4", ".mpeg", ".mpg", ".mts", ".mxf", ".ogm", ".ogv", ".rm", ".rmvb", ".ts", ".vob",
+    ".webm", ".wmv",
+]
 JPEGS, IMAGES = [".jpg", ".jpeg", ".jpe", ".jfif"], [".png", ".webp", ".bmp", ".tif", ".tiff", ".gif", ".avif"]
 PRUNED = "(?i)^(_trash_low_res|group_.*)$"
 

@@ -10,7 +10,11 @@ from brindle.functions.binary import decode_text
 
 def line_set(spark: SparkSession, path: str) -> DataFrame:
     """(line): the different trimmed lines that aren't empty."""
-    return spark.read.text(path).select(F.trim("value").alias("line")).where("line != ''").distinct()
+    return distinct_lines(spark.read.text(path))
+
+
+def distinct_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    return lines.select(F.trim(column).alias("line")).where("line != ''").distinct()
 
 
 def links_with_passwords(spark: SparkSession, path: str) -> DataFrame:

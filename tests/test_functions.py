@@ -128,3 +128,12 @@ def test_plans(spark):
     assert [r.action for r in actions.low_resolution(videos).collect()] == ["move"] and actions.short_videos(videos).count() == 1
     matches = spark.createDataFrame([("v.mkv", "s.ass", False), ("w.mkv", "t.ass", True)], "v_filename string, s_filename string, ambiguous boolean")
     assert [(r.src, r.dst) for r in actions.renames(matches).collect()] == [("s.ass", "v.ass")]
+
+
+def test_trees(spark):
+    rows = [(None, "a", 0, "A")] + [(chr(96 + k) if k < 27 else f"n{k - 1}", chr(97 + k) if k < 26 else f"n{k}", 0, f"N{k}") for k in range(1, 3)]
+    nodes = spark.createDataFrame(rows, "parent_id string, node_id string, ord int, name string")
+    assert {(r.node_id, r.path) for r in tree.expand(spark, nodes, F.col("parent_id").isNull()).collect()} == {("a", ""), ("b", "N1"), ("c", "N1/N2")}
+    cycle = nodes.unionByName(spark.createDataFrame([("c", "b", 0, "again")], nodes.schema))
+    with pytest.raises(ValueError, match="ancestor"):
+        tree.expand(spark, cycle, F.col("parent_id").isNull())
