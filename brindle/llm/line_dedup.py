@@ -38,6 +38,8 @@ PAIR_BITS = 40
 #: Lines that may have partners are broadcast up to so many (32 bytes each), and joined beyond.
 BROADCAST_ROWS = 1_000_000
 LINE = ["h", "len"]
+#: The white space of WORD_GAP.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def _order() -> Column:
@@ -52,7 +54,9 @@ def lines_of(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         odd = odd | F.contains(raw, F.lit(gap))
     norm = F.when(odd, F.trim(F.regexp_replace(raw, WORD_GAP, " "))).otherwise(raw)
     rows = docs.where("text is not null").select(_order().alias("doc"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    return rows.select("doc", "text_hash", "line", norm.alias("norm")).where(n_words("norm") >= max(1, min_words))
+    # Blank lines go by a test of the raw line: a filter on norm would compute it again for each mention.
+    lines = rows.where(F.ltrim("raw", F.lit(SPACES)) != "").select("doc", "text_hash", "line", norm.alias("norm"))
+    return lines.where(n_words("norm") >= min_words) if min_words > 1 else lines
 
 
 def n_words(norm: str) -> Column:
