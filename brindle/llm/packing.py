@@ -41,6 +41,8 @@ GROUPS = 1024
 CACHED = 600_000
 #: Characters that Python's split() takes for white space and the tokenizer doesn't.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
+#: Words with such characters, or the start of a special token, are encoded by the tokenizer as they are.
+ODD_LETTER = regex.compile("[^\x00-\u024f]|<[|]")
 #: Fixed value: the pre-tokens of the public tokenizer file.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -63,35 +65,35 @@ class WordTokenizer:
         """Little-endian unsigned 16-bit ids of a whole text."""
         if ODD_SPACE.search(text):
             return self._whole(text)
-        words, known = text.split(), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            self._learn(words)
-        return b"".join([known[w] for w in words])
+        words = text.split()
+        if new := set(words).difference(self.words):
+            self._learn(words, list(new))
+        return b"".join(map(self.words.__getitem__, words))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.inner.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        new = list({w for w in words if w not in self.words})
+    def _learn(self, words: list[str], new: list[str]) -> None:
         if len(self.words) + len(new) > CACHED:
             self.words.clear()
             new = list(set(words))
-        plain = [w for w in new if (w.isascii() or max(w) < "ɐ") and "<|" not in w]
-        if len(plain) < len(new):
+        plain, joined = new, " ".join(new)
+        if ODD_LETTER.search(joined):
+            plain = [w for w in new if not ODD_LETTER.search(w)]
             self.words |= {w: self._whole(w) for w in set(new).difference(plain)}
-        cut = [PRE_TOKEN.findall(w) for w in self.inner.normalizer.normalize_str(" ".join(plain)).split(" ")] if plain else []
+            joined = " ".join(plain)
+        # A word of letters alone is one pre-token.
+        cut = [[w] if w.isalpha() else PRE_TOKEN.findall(w) for w in self.inner.normalizer.normalize_str(joined).split(" ")] if plain else []
         if len(self.parts) > CACHED:
             self.parts.clear()
-        if fresh := list({p for w in cut for p in w if p not in self.parts}):
+        if fresh := list({p for w in cut for p in w}.difference(self.parts)):
             e = self.inner.encode(" ".join(fresh), add_special_tokens=False)
             at = np.array(e.word_ids)
-            bounds = np.searchsorted(at, np.arange(len(fresh) + 1)).tolist()
+            bounds = (2 * np.searchsorted(at, np.arange(len(fresh) + 1))).tolist()
             raw = np.array(e.ids, "<u2").tobytes()
-            self.parts |= {p: raw[2 * a : 2 * b] for p, a, b in zip(fresh, bounds, bounds[1:], strict=False)}
-        for w, pieces in zip(plain, cut, strict=True):
-            self.words[w] = b"".join([self.parts[p] for p in pieces])
+            self.parts.update(zip(fresh, [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
+        parts = self.parts
+        self.words.update(zip(plain, [parts[w[0]] if len(w) == 1 else b"".join([parts[p] for p in w]) for w in cut], strict=True))
 
 
 class Mixture:
