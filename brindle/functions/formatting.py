@@ -1,4 +1,4 @@
-"""Sizes, durations and dimensions as columns. Halves round to even."""
+"""Sizes, durations and dimensions as columns. Halves round to even; in sizes only those that are exact in binary are halves."""
 
 from __future__ import annotations
 
@@ -6,13 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _fixed(x: Column, decimals: int) -> Column:
+    """A double with so many decimals, by its exact binary value as C and Python print it: 1.015 is under its tie.
+
+    bround and format_string go by the shortest decimal text, in which 1.015 is a tie.
+    """
+    return F.call_function("format_number", x, F.lit("0." + "0" * decimals))
+
+
 def _scaled(size: Column, step: int, units: tuple[str, ...], decimals: int, whole_bytes: bool, signed: bool) -> Column:
     """The first unit in which the size is under one step; the last one holds the rest."""
     n = size.cast("double")
     magnitude = F.abs(n) if signed else n
     out = None
     for k in reversed(range(len(units))):
-        text = F.format_string("%d " + units[k], n.cast("long")) if k == 0 and whole_bytes else F.format_string(f"%.{decimals}f {units[k]}", F.bround(n / F.lit(float(step**k)), decimals))
+        text = F.format_string("%d " + units[k], n.cast("long")) if k == 0 and whole_bytes else F.concat(_fixed(n / F.lit(float(step**k)), decimals), F.lit(f" {units[k]}"))
         out = text if out is None else F.when(magnitude < float(step ** (k + 1)), text).otherwise(out)
     return out
 

@@ -45,6 +45,16 @@ def test_columns(spark):
         assert row[i] == pytest.approx(want) if isinstance(want, float) else row[i] == want, (i, row[i], want)
 
 
+def test_sizes_round_by_binary_values(spark):
+    """As Python's formatting does: few texts that look like halves are halves."""
+    sizes = [1_015_000, 1_005_000, 8_555_000, 75_525_000, 1_000_125_000, 1152 * 1024, 1_125_000, 1_375_000, 999_995, -8_555_000, -1_015_000]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", formatting.size_image(F.col("n")).alias("image"), formatting.size_budget(F.col("n")).alias("budget")).collect()
+    for n, image, budget in rows:
+        x, unit = (abs(n) / 1e9, "GB") if abs(n) >= 1e9 else (abs(n) / 1e6, "MB") if abs(n) >= 1e6 else (abs(n) / 1e3, "KB")
+        assert image == ("-" if n < 0 else "") + f"{x:.2f} {unit}"
+        assert budget == (f"{n / 2**20:.2f} MiB" if abs(n) >= 2**20 else f"{n / 1024:.2f} KiB")
+
+
 def test_log_interpolation(spark):
     points = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((28, 4e9), (34, 1e9))))
     assert value(spark, policy.log_interpolation(points, F.lit(2e9), F.lit(1.0))) == pytest.approx(31.0)
