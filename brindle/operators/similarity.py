@@ -8,6 +8,12 @@ once. The number of blocks follows the number of rows.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +21,8 @@ from pyspark.sql import functions as F
 BASE_SIMILARITY, PREFILTER_SIMILARITY, RADIUS_FLOOR = 0.85, 0.75, 14
 #: Rows of a block of the grid.
 GRID_ROWS = 4096
+#: The duplicate search: ratio of bands of durations, tasks at most, rows compared with a block at once, pairs and hashes aligned at once.
+BAND, SEARCH_TASKS, CHUNK_ROWS, PAIRS, ALIGNED = 1.14, 1000, 64, 20_000, 1 << 20
 
 
 def prefilter_radius(frames: Column, similarity: float = PREFILTER_SIMILARITY) -> Column:
@@ -128,24 +136,143 @@ def consensus_hash(df: DataFrame, by: str, hash_column: str) -> DataFrame:
     return counted.select(by, "n", out.alias("consensus"))
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of an array of lists: where each begins, its length (0 for null), all values as unsigned, and whether they are null."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    starts = np.asarray(column.offsets, np.int64)[:-1]
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+    null = np.asarray(pc.is_null(column.values), bool)
+    values = np.asarray(pc.fill_null(column.values, 0)).astype(np.int64).view(np.uint64)
+    return starts, sizes, values, null
+
+
+def best_shifts(hashes: pa.Array, a: np.ndarray, b: np.ndarray, min_overlap: int = 1, max_offset: int = 600, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What best_shift says of the rows a and b of an array of lists: similarity (NaN for null), overlap, offset.
+
+    Pairs with the same lengths are aligned together, an offset at a time.
+    """
+    starts, sizes, values, null = _lists(hashes)
+    similarity, overlap, offset = np.full(len(a), np.nan), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    shape = sizes[a] << 32 | sizes[b]
+    order = np.argsort(shape, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(shape[order])) + 1) if len(a) else []:
+        la, lb = int(sizes[a[rows[0]]]), int(sizes[b[rows[0]]])
+        if not la or not lb:
+            continue
+        m = max(1, min(min_overlap, la, lb))
+        for part in np.array_split(rows, -(-len(rows) * (la + lb) // ALIGNED)):
+            ia, ib = starts[a[part]][:, None] + np.arange(la), starts[b[part]][:, None] + np.arange(lb)
+            x, y = values[ia], values[ib]
+            gone = (null[ia], null[ib]) if null.any() else None
+            best = np.full(len(part), -(1 << 62), np.int64)
+            for o in sorted(range(max(m - la, -max_offset), min(lb - m, max_offset) + 1), key=lambda o: (abs(o), o)):
+                i, j = max(0, -o), max(0, o)
+                n = min(la - i, lb - j)
+                s = 1 - np.bitwise_count(x[:, i : i + n] ^ y[:, j : j + n]).sum(axis=1, dtype=np.int64) / (n * float(bits))
+                rank = np.floor(s * 1e12 + 0.5).astype(np.int64)
+                if gone:
+                    broken = (gone[0][:, i : i + n] | gone[1][:, j : j + n]).any(axis=1)
+                    s[broken], rank[broken] = np.nan, -(1 << 62) + 1
+                # from the nearest offset on, so that equal rank and overlap keep what was found first
+                better = (rank > best) | ((rank == best) & (n > overlap[part]))
+                best[better] = rank[better]
+                similarity[part[better]], overlap[part[better]], offset[part[better]] = s[better], n, o
+    return similarity, overlap, offset
+
+
+def _close_pairs(h: np.ndarray, radius: np.ndarray, order: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a left and a right row (the same rows: each pair once) within the radius of the later one, that first."""
+    widest, own = int(radius.max(initial=-1)), left is right
+    g = h[right]
+    for at in range(0, len(left), CHUNK_ROWS):
+        rows = left[at : at + CHUNK_ROWS]
+        first = at if own else 0
+        x, y = np.divmod(np.flatnonzero(np.bitwise_count(h[rows][:, None] ^ g[None, first:]) <= widest), len(right) - first)
+        a, b = rows[x], right[first + y]
+        swap = order[a] > order[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        kept = (order[a] < order[b]) & (np.bitwise_count(h[a] ^ h[b]) <= radius[b])
+        if own:
+            kept &= (x + at < first + y)
+        yield a[kept], b[kept]
+
+
+def _searched(columns: list[str], min_overlap: int, max_offset: int):
+    """Rows sorted by cell to the aligned pairs of each cell, of which one at a time is held."""
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        block, order, radius, d, fps = (rows[c].to_numpy() for c in ("__block", "ord", "__radius", "__d", "__fps"))
+        h, hashes = rows["consensus_hash"].to_numpy().view(np.uint64), rows["hashes"].combine_chunks()
+        left = np.flatnonzero(block == block.min())
+        right = left if rows["__other"][0].as_py() == block[0] else np.flatnonzero(block != block.min())
+        for a, b in _close_pairs(h, radius, order, left, right):
+            with np.errstate(all="ignore"):
+                far = np.abs(d[a] - d[b]) > np.maximum(60.0, 0.12 * np.maximum(np.maximum(d[a], d[b]), 0.0))
+                apart = np.maximum(fps[a], fps[b]) / np.minimum(fps[a], fps[b]) > 1.25
+            a, b = a[~(far | apart)], b[~(far | apart)]
+            for k in range(0, len(a), PAIRS):
+                i, j = a[k : k + PAIRS], b[k : k + PAIRS]
+                similarity, overlap, offset = best_shifts(hashes, i, j, min_overlap, max_offset)
+                told = [pa.array(similarity, from_pandas=True), pa.array(overlap, pa.int32()), pa.array(offset, pa.int32())]
+                sides = [rows[c].take(pa.array(at)).combine_chunks() for at in (i, j) for c in columns]
+                yield pa.RecordBatch.from_arrays([*sides, *told], names=[*(f"{p}{c}" for p in ("a_", "b_") for c in columns), "similarity", "overlap", "offset"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            cells = batch.column("__cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                if at < end and held and cells[at] != last:
+                    yield from pairs(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                if at < end:
+                    held.append(batch.slice(at, end - at))
+                    last = cells[at]
+        if held:
+            yield from pairs(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def _dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows with __block, __other and __cell, once for each block that has comparable durations; and the number of cells.
+
+    Comparable durations, with 500 more, have a ratio under 1 / 0.88, so they lie in the same band of ratio BAND or in the next.
+    """
+    spark = rows.sparkSession
+    banded = rows.withColumn("__band", F.floor(F.ln(F.greatest("__d", F.lit(1.0)) + 500) / F.lit(math.log(BAND))))
+    blocks = {r[0]: -(-r[1] // GRID_ROWS) for r in banded.groupBy("__band").count().collect()}  # a row for each band
+    first, total = {}, 0
+    for band in sorted(blocks):
+        first[band], total = total, total + blocks[band]
+    ends = {band: first[band] + n for band, n in blocks.items()}
+    grid = [(band, first[band], n, first.get(band - 1, first[band]), ends.get(band + 1, ends[band])) for band, n in blocks.items()]
+    bands = spark.createDataFrame(grid, "__band long, __first long, __n long, __low long, __end long")
+    dealt = banded.join(F.broadcast(bands), "__band").withColumn("__block", F.col("__first") + F.pmod(F.xxhash64("ord"), F.col("__n")))
+    each = dealt.withColumn("__other", F.explode(F.sequence("__low", F.col("__end") - 1)))
+    cell = F.least("__block", "__other") * total + F.greatest("__block", "__other")
+    cells = sum(n * (n + 1) // 2 + n * blocks.get(band + 1, 0) for band, n in blocks.items())
+    return each.withColumn("__cell", cell).drop("__band", "__first", "__n", "__low", "__end"), cells
+
+
 def duplicate_pairs(prints: DataFrame, min_overlap: int = 1, max_offset: int = 600, base: float = BASE_SIMILARITY) -> DataFrame:
     """The duplicate search: fingerprints (ord, path, duration_s, hashes, consensus_hash, file_size, width, height, sample_fps) to pairs.
 
-    Comparable durations are an equality join on the doubling of the duration, with the exact
-    band on top; then the consensus radius of the later row, sampling rates, the best alignment and the
-    threshold for its overlap. The kept side has more pixels, then bytes, then the smaller path; the
-    offset is negative if that is the later row.
+    Comparable durations, the consensus radius of the later row and sampling rates make candidates, in blocks of rows of
+    comparable bands of durations; then the best alignment and the threshold for its overlap. Nulls have no
+    pairs. The kept side has more pixels, then bytes, then the smaller path; the offset is negative if that is the later row.
     """
-    band = F.floor(F.log2(F.greatest(F.col("duration_s"), F.lit(1.0)) + 500))
-    own = prints.withColumn("band", band)
-    a = _prefixed(own, "a_").withColumn("k", F.col("a_band"))
-    b = _prefixed(own, "b_").withColumn("k", F.explode(F.array(F.col("b_band"), F.col("b_band") - 1, F.col("b_band") + 1)))
-    close = comparable_durations(F.col("a_duration_s"), F.col("b_duration_s"))
-    radius = F.bit_count(F.col("a_consensus_hash").bitwiseXOR(F.col("b_consensus_hash"))) <= prefilter_radius(F.size("b_hashes"))
-    candidates = a.join(b, ["k"]).where((F.col("a_ord") < F.col("b_ord")) & close & radius & ~rates_differ(F.col("a_sample_fps"), F.col("b_sample_fps")))
-    aligned = candidates.withColumn("s", best_shift(F.col("a_hashes"), F.col("b_hashes"), min_overlap, max_offset)).where(F.col("s.similarity") >= required_similarity(F.col("s.overlap"), base))
+    columns = ["path", "duration_s", "file_size", "width", "height"]
+    known = prints.dropna(subset=["ord", "duration_s", "consensus_hash", "sample_fps", "hashes"])
+    rows = known.select("ord", *columns, F.col("consensus_hash").cast("long").alias("consensus_hash"), F.col("hashes").cast("array<long>").alias("hashes"), prefilter_radius(F.size("hashes")).alias("__radius"), F.col("duration_s").cast("double").alias("__d"), F.col("sample_fps").cast("double").alias("__fps"))
+    dealt, cells = _dealt(rows)
+    sorted_rows = dealt.repartition(max(1, min(cells, SEARCH_TASKS)), "__cell").sortWithinPartitions("__cell")
+    kinds = ", ".join(f"`{p}{c}` {prints.schema[c].dataType.simpleString()}" for p in ("a_", "b_") for c in columns)
+    found = sorted_rows.mapInArrow(_searched(columns, min_overlap, max_offset), f"{kinds}, similarity double, overlap int, offset int")
+    aligned = found.where(F.col("similarity") >= required_similarity(F.col("overlap"), base))
     rank = lambda p: F.struct((F.col(f"{p}_width") * F.col(f"{p}_height")).alias("area"), F.col(f"{p}_file_size").alias("size"))
     first = (rank("a") > rank("b")) | ((rank("a") == rank("b")) & (F.col("a_path") <= F.col("b_path")))
     side = lambda keep, c: F.when(first == keep, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
-    columns = [side(keep, c).alias(f"{who}_{name}" if name else who) for c, name in (("path", ""), ("file_size", "size"), ("duration_s", "duration_s"), ("width", "width"), ("height", "height")) for keep, who in ((True, "original"), (False, "duplicate"))]
-    return aligned.select(*columns, (F.col("s.similarity") * 100).alias("similarity"), F.when(first, F.col("s.offset")).otherwise(-F.col("s.offset")).cast("double").alias("offset_s"), F.col("s.overlap").alias("overlap_frames"))
+    sides = [side(keep, c).alias(f"{who}_{name}" if name else who) for c, name in (("path", ""), ("file_size", "size"), ("duration_s", "duration_s"), ("width", "width"), ("height", "height")) for keep, who in ((True, "original"), (False, "duplicate"))]
+    return aligned.select(*sides, (F.col("similarity") * 100).alias("similarity"), F.when(first, F.col("offset")).otherwise(-F.col("offset")).cast("double").alias("offset_s"), F.col("overlap").alias("overlap_frames"))
