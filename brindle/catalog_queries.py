@@ -255,9 +255,7 @@ def duplicate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{DUPLICATES}, u AS (SELECT original AS path, original_size AS size FROM d UNION ALL SELECT duplicate, duplicate_size FROM d) SELECT path, max(size) AS size, count(*)::BIGINT AS n FROM u GROUP BY 1")
 def duplicate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs as files, and the greatest size that a pair says of each."""
-    pairs = _duplicates(spark, sf_dir)
-    counts = summary.file_rows(pairs).groupBy("path").agg(F.count("*").alias("n"))
-    return summary.largest_by_path(pairs).select("path", "size").join(counts, "path")
+    return summary.largest_by_path(_duplicates(spark, sf_dir)).select("path", "size", "n")
 
 
 @query(f"{DUPLICATES} SELECT original, duplicate, CASE WHEN original_size < 1024 THEN original_size || ' B' ELSE printf('%.2f KB', original_size / 1024.0::DOUBLE) END AS shown FROM d")

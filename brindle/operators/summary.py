@@ -107,11 +107,11 @@ def memoised(attempts: DataFrame, key: Column, order: str) -> DataFrame:
 
 
 def file_rows(pairs: DataFrame) -> DataFrame:
-    """Pairs as rows of files: (path, other, size, duration_s, width, height, kept)."""
-    side = lambda a, b, kept: pairs.select(F.col(a).alias("path"), F.col(b).alias("other"), *(F.col(f"{a}_{c}").alias(c) for c in ("size", "duration_s", "width", "height")), F.lit(kept).alias("kept"))
-    return side("original", "duplicate", True).unionByName(side("duplicate", "original", False))
+    """Pairs as rows of files: (path, other, size, duration_s, width, height, kept). One pass over the pairs."""
+    side = lambda a, b, kept: F.struct(F.col(a).alias("path"), F.col(b).alias("other"), *(F.col(f"{a}_{c}").alias(c) for c in ("size", "duration_s", "width", "height")), F.lit(kept).alias("kept"))
+    return pairs.select(F.explode(F.array(side("original", "duplicate", True), side("duplicate", "original", False))).alias("f")).select("f.*")
 
 
 def largest_by_path(pairs: DataFrame) -> DataFrame:
-    """(path, size, area): the greatest that any pair says of a file."""
-    return file_rows(pairs).groupBy("path").agg(F.max("size").alias("size"), F.max(F.col("width").cast("long") * F.col("height")).alias("area"))
+    """(path, size, area, n): the greatest that any pair says of a file, and its pairs."""
+    return file_rows(pairs).groupBy("path").agg(F.max("size").alias("size"), F.max(F.col("width").cast("long") * F.col("height")).alias("area"), F.count("*").alias("n"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from brindle.operators import similarity
+from brindle.operators import similarity, summary
 
 
 def _prints(spark, n, seed):
@@ -44,3 +44,18 @@ def test_search_deals_equal_durations_out(spark, monkeypatch):
 
 def test_search_of_nothing(spark):
     assert similarity.duplicate_pairs(_prints(spark, 30, 2).limit(0)).count() == 0
+
+
+def test_files_of_pairs_in_one_pass(spark):
+    """Both sides of a pair come from the same rows, which are expensive to find."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    kinds = "original string, duplicate string, " + ", ".join(f"{p}_{c} long" for p in ("original", "duplicate") for c in ("size", "duration_s", "width", "height"))
+    pairs = spark.createDataFrame([("a", "b", 5, 1, 2, 3, 4, 1, 2, 3), ("a", "c", 6, 1, 2, 3, 4, 1, 2, 4)], kinds).mapInArrow(count, kinds)
+    assert {tuple(r) for r in summary.largest_by_path(pairs).collect()} == {("a", 6, 6, 2), ("b", 4, 6, 1), ("c", 4, 8, 1)}
+    assert seen.value == 2
