@@ -1,6 +1,7 @@
 """The matching at size: rows that score alike, long chains of rivals."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,3 +35,32 @@ def test_rows_that_score_alike_are_joined_once(spark):
     one = spark.range(400).select(F.lit("f").alias("folder"), F.col("id"), F.lit(1).alias("episode"), F.lit(1).alias("season"), *(F.lit(None).cast(k).alias(c) for c, k in (("special_type", "string"), ("part", "int"), ("cour", "int"))), F.lit("a").alias("title_key"), F.lit("en").alias("language"), F.lit(False).alias("is_batch"))
     assert matching._classes(one, "folder").count() <= 2
     assert matching.scored_candidates(one, one).count() == 160_000
+
+
+def _plain(pairs):
+    taken, out = set(), set()
+    for x, v, s in sorted((-x, v, s) for v, s, x in pairs):
+        if ("v", v) in taken or ("s", s) in taken:
+            continue
+        ambiguous = any(abs(y + x) < 3.0 and (w == v) != (t == s) and ("v", w) not in taken and ("s", t) not in taken for w, t, y in pairs)
+        out.add((v, s, ambiguous))
+        if not ambiguous:
+            taken |= {("v", v), ("s", s)}
+    return out
+
+
+def test_greedy_equals_plain_loops(spark):
+    rng = random.Random(5)
+    pairs = [(v, s, float(rng.choice([20, 22, 25, 31, 50, 57, 90])) + rng.choice([0.0, 2.999])) for v in range(25) for s in range(25) if rng.random() < 0.3]
+    pairs += pairs[:20]  # repeated rows are no rivals of themselves
+    got = matching.greedy_match(spark.createDataFrame([("f", *p) for p in pairs], "folder string, v int, s int, score double"), ["folder"], "v", "s").collect()
+    assert {(r.v, r.s, r.ambiguous) for r in got} == _plain(pairs) and {r.ambiguous for r in got} == {True, False}
+
+
+def test_greedy_of_many_rivals(spark):
+    """A million pairs that are all rivals: reading all rivals of each takes minutes."""
+    n = 1000
+    pairs = spark.range(n * n).select(F.lit("f").alias("folder"), F.floor(F.col("id") / n).alias("v"), (F.col("id") % n).alias("s"), F.lit(50.0).alias("score"))
+    began = time.time()
+    assert matching.greedy_match(pairs, ["folder"], "v", "s").where("ambiguous").count() == n * n
+    assert time.time() - began < 60
