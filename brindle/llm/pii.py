@@ -1,14 +1,14 @@
 r"""Information-theoretic sanitisation of personal data. DataFrame operations only.
 
 Protected entities are e-mail addresses, IP addresses, card numbers and phone numbers, found by
-fixed patterns. How far a term near an entity discloses it is estimated from the whole corpus, with document
+fixed patterns. How far a term of the same text discloses it is estimated from the whole corpus, with document
 frequencies over all rows, on three levels: the entity itself, its group (an e-mail's domain, a network, a card's
 issuer, a phone's prefix) and its kind, as an entity that stands in one text only says nothing by itself. On a
 level, the pointwise mutual information ``log2(n_et * N / (n_e * n_t))`` of entity and term, as a share of the
 entity's information ``log2(N / n_e)``, is shrunk by ``texts / (texts + SHRINK)``, texts being the
 different texts that show both. The share is near 1 if the term hardly stands without the entity and there is much
 evidence; the greatest of the levels counts. Terms over GENERALISE are replaced by their class, over REMOVE
-they are removed; both only in documents with the entity, within CONTEXT characters of it. Entities
+they are removed; both only in documents with the entity, wherever they stand in them. Entities
 themselves are replaced by their kind.
 
 Patterns take possessive quantifiers and anchors to the previous match or a boundary; they match what the
@@ -36,8 +36,8 @@ PATTERNS = (
 )
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TERM = len(KINDS) - 1
-#: Code points on either side of an entity, and letters of a term.
-CONTEXT, TERM_LETTERS = 48, 4
+#: Letters of a term, at least.
+TERM_LETTERS = 4
 #: Shares shrink by half for so many different texts.
 SHRINK = 0.5
 GENERALISE, REMOVE = 0.75, 0.9
@@ -60,34 +60,27 @@ def _valid(kind: Column, match: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(k1, k2, copies, kind, value, start, end, before, after) of the entities of each different text."""
+    """(k1, k2, copies, kind, value, start, end) of the entities of each different text."""
     rows = docs.where(F.col("text").rlike("[@0-9]")).select(*_keys(), "text")
     kinds = [F.struct(F.lit(i).alias("kind"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("m"), F.split("text", p, -1).alias("g")) for i, p in enumerate(PATTERNS)]
     found = rows.select(*KEY, F.explode(F.array(*kinds)).alias("f")).where(F.size("f.m") > 0).select(*KEY, "f.*")
-    pieces = F.transform("m", lambda x, i: F.struct(x.alias("match"), F.char_length(F.get("g", i)).alias("gap"), F.right(F.get("g", i), F.lit(CONTEXT)).alias("before"), F.left(F.get("g", i + 1), F.lit(CONTEXT)).alias("after")))
+    pieces = F.transform("m", lambda x, i: F.struct(x.alias("match"), F.char_length(F.get("g", i)).alias("gap")))
     each = found.select(*KEY, "kind", F.posexplode(pieces).alias("k", "p")).groupBy(*KEY, "kind", "k", "p").agg(F.count("*").alias("copies"))
     so_far = Window.partitionBy(*KEY, "kind").orderBy("k")
     end = F.sum(F.col("p.gap") + F.char_length("p.match")).over(so_far)
     placed = each.select(*KEY, "copies", "kind", end.alias("end"), "p.*")
     value = F.when(F.col("kind") == 0, F.lower("match")).otherwise(F.regexp_replace("match", "[\\x20()-]", ""))
-    return placed.where(_valid(F.col("kind"), F.col("match"))).select(*KEY, "copies", "kind", value.alias("value"), (F.col("end") - F.char_length("match")).alias("start"), "end", "before", "after")
+    return placed.where(_valid(F.col("kind"), F.col("match"))).select(*KEY, "copies", "kind", value.alias("value"), (F.col("end") - F.char_length("match")).alias("start"), "end")
 
 
-def _words(context: Column, at: Column, left: bool) -> Column:
-    """Whole words of a context with their offsets in the text; the context starts at `at`."""
-    words, gaps = F.regexp_extract_all(context, F.lit(LETTERS), F.lit(0)), F.split(context, LETTERS, -1)
-    length = lambda x, n: F.aggregate(F.slice(x, F.lit(1), n), F.lit(0), lambda s, y: s + F.char_length(y))
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("word"), (length(words, i) + length(gaps, i + 1)).alias("from")))
-    full = F.char_length(context) == CONTEXT
-    cut = (lambda x: full & (x["from"] == 0)) if left else (lambda x: full & (x["from"] + F.char_length(x["word"]) == CONTEXT))
-    whole = F.filter(placed, lambda x: ~cut(x) & (F.char_length(x["word"]) >= TERM_LETTERS))
-    return F.transform(whole, lambda x: F.struct(F.lower(x["word"]).alias("term"), (at + x["from"]).alias("start"), (at + x["from"] + F.char_length(x["word"])).alias("end")))
-
-
-def contexts(entities: DataFrame) -> DataFrame:
-    """(k1, k2, copies, kind, value, term, start, end): the terms near each entity."""
-    words = F.concat(_words(F.col("before"), F.col("start") - F.char_length("before"), True), _words(F.col("after"), F.col("end"), False))
-    return entities.select(*KEY, "copies", "kind", "value", F.explode(words).alias("w")).select(*KEY, "copies", "kind", "value", "w.*")
+def contexts(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """(k1, k2, term, start, end): all terms of each different text that has an entity."""
+    texts = docs.where(F.col("text").rlike("[@0-9]")).select(*_keys(), "text").join(entities.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY)
+    words = texts.select(*KEY, F.regexp_extract_all("text", F.lit(LETTERS), F.lit(0)).alias("m"), F.split("text", LETTERS, -1).alias("g"))
+    each = words.select(*KEY, F.posexplode(F.transform("m", lambda w, i: F.struct(w.alias("word"), F.char_length(F.get("g", i)).alias("gap")))).alias("k", "p"))
+    end = F.sum(F.col("p.gap") + F.char_length("p.word")).over(Window.partitionBy(*KEY).orderBy("k"))
+    placed = each.select(*KEY, "p.word", end.alias("end")).where(F.char_length("word") >= TERM_LETTERS)
+    return placed.select(*KEY, F.lower("word").alias("term"), (F.col("end") - F.char_length("word")).alias("start"), "end")
 
 
 def levels(kind: Column, value: Column) -> Column:
@@ -104,20 +97,26 @@ def _on_levels(df: DataFrame) -> DataFrame:
     return told.select("*", "l.level", "l.name").drop("l")
 
 
-def disclosure(spark: SparkSession, docs: DataFrame, entities: DataFrame, near: DataFrame) -> DataFrame:
+def _named(entities: DataFrame) -> DataFrame:
+    """(kind, level, name, k1, k2, copies): what each text's entities are called, once."""
+    return _on_levels(entities).groupBy(*LEVEL, *KEY).agg(F.max("copies").alias("copies"))
+
+
+def disclosure(spark: SparkSession, docs: DataFrame, entities: DataFrame, words: DataFrame) -> DataFrame:
     """(kind, level, name, term, share): how far each term discloses each entity, group or kind, if over GENERALISE."""
-    texts = lambda df, *on: df.groupBy(*on, *KEY).agg(F.max("copies").alias("copies")).groupBy(*on)
-    together = texts(_on_levels(near), *LEVEL, "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts")).where(_shrunk(F.lit(1.0)) >= GENERALISE)
-    alone = texts(_on_levels(entities), *LEVEL).agg(F.sum("copies").alias("n_e"))
-    seen = texts(near, "term").agg(F.sum("copies").alias("n_t"))
+    named, terms_of = _named(entities), words.select(*KEY, "term").distinct()
+    # Fewer texts than so are too little evidence for any term, so names that stand in fewer aren't paired.
+    alone = named.groupBy(*LEVEL).agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(_shrunk(F.lit(1.0)) >= GENERALISE).drop("texts")
+    together = named.join(alone, LEVEL, "left_semi").join(terms_of, KEY).groupBy(*LEVEL, "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts")).where(_shrunk(F.lit(1.0)) >= GENERALISE)
+    seen = terms_of.join(entities.groupBy(*KEY).agg(F.max("copies").alias("copies")), KEY).groupBy("term").agg(F.sum("copies").alias("n_t"))
     total = docs.select(F.count("text").alias("n"))
-    # A term stands in as many documents at least as near some entity: this bounds its share from above.
+    # A term stands in as many documents at least as beside some entity: this bounds its share from above.
     known = together.join(alone, LEVEL).join(F.broadcast(total))  # one row
     possible = written(spark, known.join(seen, "term").where(_share() >= GENERALISE).drop("n_t"), "possible-terms")
     terms = possible.select("term").distinct()
     few = terms.count() <= BROADCAST_TERMS
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)))).alias("term")).where(F.char_length("term") >= TERM_LETTERS)
-    counts = words.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    everywhere = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)))).alias("term")).where(F.char_length("term") >= TERM_LETTERS)
+    counts = everywhere.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     return possible.join(counts, "term").withColumn("share", _share()).where(F.col("share") >= GENERALISE).select(*LEVEL, "term", "share")
 
 
@@ -132,10 +131,11 @@ def _share() -> Column:
 def spans_of_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(k1, k2, base, terms): the sorted spans of each different text that has an entity."""
     entities = written(spark, base_spans(docs), "entities")
-    near = written(spark, contexts(entities), "contexts")
-    strong = disclosure(spark, docs, entities, near)
+    words = written(spark, contexts(docs, entities), "contexts")
+    strong = written(spark, disclosure(spark, docs, entities, words), "strong-terms")
     base = entities.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("base"))
-    told = _on_levels(near).join(strong, [*LEVEL, "term"]).groupBy(*KEY, "start", "end").agg(F.max("share").alias("share"))
+    likely = words.join(strong.select("term").distinct(), "term", "left_semi")
+    told = likely.join(_named(entities), KEY).join(strong, [*LEVEL, "term"]).groupBy(*KEY, "start", "end").agg(F.max("share").alias("share"))
     terms = told.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
     both = base.join(terms, KEY, "left")
     apart = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))

@@ -354,3 +354,12 @@ def test_pii_single_entities(spark):
     out = {r.doc_id: r for r in pii.sanitise(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all("zephyrine" in {out[i].text[t.start : t.end] for t in out[i].terms} for i in range(12))
     assert all("reachable" not in {r.text[t.start : t.end] for t in r.terms} for r in out.values())
+
+
+def test_pii_terms_anywhere(spark):
+    """A term that discloses stands far from the entity, before and after it."""
+    far = " ".join(["plain filler words"] * 40)
+    rows = [(k, f"zephyrine {far} secret@mail.example {far} quorvane") for k in range(6)] + [(100 + k, f"{far} and so on") for k in range(60)]
+    out = {r.doc_id: r for r in pii.sanitise(spark, spark.createDataFrame(rows[:1] + [(k, f"{t} {k % 3}") for k, t in rows[1:]], "doc_id long, text string")).collect()}
+    assert all([out[k].text[t.start : t.end] for t in out[k].terms] == ["zephyrine", "quorvane"] for k in range(6))
+    assert all(out[k].terms == [] for k in range(100, 160))
