@@ -9,7 +9,7 @@ from brindle.functions import binary, episodes, formatting, names, policy, probe
 from brindle.operators import clustering, ledger, matching, naming, similarity, summary
 from brindle.operators.graph import numbered
 from brindle.plans import actions
-from brindle.queries import QUERIES, hashed, query, sign_hash, table
+from brindle.queries import QUERIES, hashed, query, table
 from brindle.sources import files, lines, sinks
 
 # ---- listings -----------------------------------------------------------------------------------
@@ -224,10 +224,11 @@ def disk_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as videos: eight hashes of eight signs each, with durations, sizes and rates."""
-    word = lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("long"), lambda s, i: F.when(F.get("embedding", w * 8 + i) > 0, s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(s))
+    signs = F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0")), "")
+    bits = lambda at, n: F.coalesce(F.conv(F.reverse(F.substring("signs", at + 1, n)), 2, 10).cast("long"), F.lit(0))
     k = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").select(
-        k.alias("ord"), F.lpad(k.cast("string"), 8, "0").alias("path"), (600.0 + k % 50 * 10).alias("duration_s"), F.array(*(word(w) for w in range(8))).alias("hashes"), sign_hash(F.col("embedding")).alias("consensus_hash"), (k % 13 * 1000).alias("file_size"),
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.rpad(F.coalesce(signs, F.lit("")), 64, "0").alias("signs")).select(
+        k.alias("ord"), F.lpad(k.cast("string"), 8, "0").alias("path"), (600.0 + k % 50 * 10).alias("duration_s"), F.array(*(bits(w * 8, 8) for w in range(8))).alias("hashes"), bits(0, 63).alias("consensus_hash"), (k % 13 * 1000).alias("file_size"),
         F.lit(640).alias("width"), (F.lit(360) + (k % 3).cast("int") * 2).alias("height"), F.when(k % 10 == 0, 2.0).otherwise(1.0).alias("sample_fps"),
     )
 

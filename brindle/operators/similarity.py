@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -151,7 +153,12 @@ def best_shifts(hashes: pa.Array, a: np.ndarray, b: np.ndarray, min_overlap: int
 
     Pairs with the same lengths are aligned together, an offset at a time.
     """
-    starts, sizes, values, null = _lists(hashes)
+    return _aligned(_lists(hashes), a, b, min_overlap, max_offset, bits)
+
+
+def _aligned(lists: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, min_overlap: int, max_offset: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    starts, sizes, values, null = lists
+    broken_any = bool(null.any())
     similarity, overlap, offset = np.full(len(a), np.nan), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
     shape = sizes[a] << 32 | sizes[b]
     order = np.argsort(shape, kind="stable")
@@ -161,17 +168,17 @@ def best_shifts(hashes: pa.Array, a: np.ndarray, b: np.ndarray, min_overlap: int
             continue
         m = max(1, min(min_overlap, la, lb))
         for part in np.array_split(rows, -(-len(rows) * (la + lb) // ALIGNED)):
-            ia, ib = starts[a[part]][:, None] + np.arange(la), starts[b[part]][:, None] + np.arange(lb)
+            ia, ib = starts[a[part]] + np.arange(la)[:, None], starts[b[part]] + np.arange(lb)[:, None]
             x, y = values[ia], values[ib]
-            gone = (null[ia], null[ib]) if null.any() else None
+            gone = (null[ia], null[ib]) if broken_any else None
             best = np.full(len(part), -(1 << 62), np.int64)
             for o in sorted(range(max(m - la, -max_offset), min(lb - m, max_offset) + 1), key=lambda o: (abs(o), o)):
                 i, j = max(0, -o), max(0, o)
                 n = min(la - i, lb - j)
-                s = 1 - np.bitwise_count(x[:, i : i + n] ^ y[:, j : j + n]).sum(axis=1, dtype=np.int64) / (n * float(bits))
+                s = 1 - np.bitwise_count(x[i : i + n] ^ y[j : j + n]).sum(axis=0, dtype=np.int64) / (n * float(bits))
                 rank = np.floor(s * 1e12 + 0.5).astype(np.int64)
                 if gone:
-                    broken = (gone[0][:, i : i + n] | gone[1][:, j : j + n]).any(axis=1)
+                    broken = (gone[0][i : i + n] | gone[1][j : j + n]).any(axis=0)
                     s[broken], rank[broken] = np.nan, -(1 << 62) + 1
                 # from the nearest offset on, so that equal rank and overlap keep what was found first
                 better = (rank > best) | ((rank == best) & (n > overlap[part]))
@@ -180,14 +187,42 @@ def best_shifts(hashes: pa.Array, a: np.ndarray, b: np.ndarray, min_overlap: int
     return similarity, overlap, offset
 
 
-def _close_pairs(h: np.ndarray, radius: np.ndarray, order: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a left and a right row (the same rows: each pair once) within the radius of the later one, that first."""
+def _marked(mask: np.ndarray) -> np.ndarray:
+    """Where a flat mask of a multiple of eight bytes is set, by eights: few are."""
+    eights = np.flatnonzero(mask.view(np.uint64))
+    k, at = np.nonzero(mask.reshape(-1, 8)[eights])
+    return eights[k] * 8 + at
+
+
+def _close_pairs(h: np.ndarray, radius: np.ndarray, order: np.ndarray, d: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a left and a right row (the same rows: each pair once) within the radius of the later one, that first.
+
+    Both sides are sorted by duration, so that each part of the left meets the right rows whose durations may be comparable, and few others.
+    """
     widest, own = int(radius.max(initial=-1)), left is right
-    g = h[right]
+    left = left[np.argsort(d[left], kind="stable")]
+    right = left if own else right[np.argsort(d[right], kind="stable")]
+    g, e, finite = h[right], d[right], bool(np.isfinite(d).all())
+    room = CHUNK_ROWS * len(right)
+    differing, count, mask = np.empty(room, np.uint64), np.empty(room, np.uint8), np.zeros(room + 8, bool)
     for at in range(0, len(left), CHUNK_ROWS):
         rows = left[at : at + CHUNK_ROWS]
-        first = at if own else 0
-        x, y = np.divmod(np.flatnonzero(np.bitwise_count(h[rows][:, None] ^ g[None, first:]) <= widest), len(right) - first)
+        first, end = 0, len(right)
+        if finite:
+            low, high = d[rows[0]], d[rows[-1]]
+            low, high = min(low - 60.0, 0.88 * low), max(high + 60.0, high / 0.88)
+            first = int(np.searchsorted(e, low - 1e-6 - 1e-9 * abs(low), "left"))
+            end = int(np.searchsorted(e, high + 1e-6 + 1e-9 * abs(high), "right"))
+        first = max(first, at) if own else first
+        n = len(rows) * (end - first)
+        if n <= 0:
+            continue
+        shape = (len(rows), end - first)
+        np.bitwise_xor(h[rows][:, None], g[None, first:end], out=differing[:n].reshape(shape))
+        np.bitwise_count(differing[:n], out=count[:n])
+        np.less_equal(count[:n], widest, out=mask[:n])
+        mask[n : n + 8] = False
+        x, y = np.divmod(_marked(mask[: -(-n // 8) * 8]), end - first)
         a, b = rows[x], right[first + y]
         swap = order[a] > order[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -202,21 +237,31 @@ def _searched(columns: list[str], min_overlap: int, max_offset: int):
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         block, order, radius, d, fps = (rows[c].to_numpy() for c in ("__block", "ord", "__radius", "__d", "__fps"))
-        h, hashes = rows["consensus_hash"].to_numpy().view(np.uint64), rows["hashes"].combine_chunks()
+        h, lists = rows["consensus_hash"].to_numpy().view(np.uint64), _lists(rows["hashes"])
         left = np.flatnonzero(block == block.min())
         right = left if rows["__other"][0].as_py() == block[0] else np.flatnonzero(block != block.min())
-        for a, b in _close_pairs(h, radius, order, left, right):
-            with np.errstate(all="ignore"):
-                far = np.abs(d[a] - d[b]) > np.maximum(60.0, 0.12 * np.maximum(np.maximum(d[a], d[b]), 0.0))
-                apart = np.maximum(fps[a], fps[b]) / np.minimum(fps[a], fps[b]) > 1.25
-            a, b = a[~(far | apart)], b[~(far | apart)]
+
+        def aligned(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(a), PAIRS):
                 i, j = a[k : k + PAIRS], b[k : k + PAIRS]
-                similarity, overlap, offset = best_shifts(hashes, i, j, min_overlap, max_offset)
+                similarity, overlap, offset = _aligned(lists, i, j, min_overlap, max_offset)
                 told = [pa.array(similarity, from_pandas=True), pa.array(overlap, pa.int32()), pa.array(offset, pa.int32())]
                 sides = [rows[c].take(pa.array(at)).combine_chunks() for at in (i, j) for c in columns]
                 yield pa.RecordBatch.from_arrays([*sides, *told], names=[*(f"{p}{c}" for p in ("a_", "b_") for c in columns), "similarity", "overlap", "offset"])
 
+        held, n = [], 0
+        for a, b in _close_pairs(h, radius, order, d, left, right):
+            with np.errstate(all="ignore"):
+                far = np.abs(d[a] - d[b]) > np.maximum(60.0, 0.12 * np.maximum(np.maximum(d[a], d[b]), 0.0))
+                apart = np.maximum(fps[a], fps[b]) / np.minimum(fps[a], fps[b]) > 1.25
+            held.append((a[~(far | apart)], b[~(far | apart)]))
+            n += len(held[-1][0])
+            if n >= PAIRS:
+                yield from aligned(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield from aligned(*map(np.concatenate, zip(*held, strict=True)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
         for batch in batches:
@@ -248,9 +293,10 @@ def _dealt(rows: DataFrame) -> tuple[DataFrame, int]:
         first[band], total = total, total + blocks[band]
     ends = {band: first[band] + n for band, n in blocks.items()}
     grid = [(band, first[band], n, first.get(band - 1, first[band]), ends.get(band + 1, ends[band])) for band, n in blocks.items()]
-    bands = spark.createDataFrame(grid, "__band long, __first long, __n long, __low long, __end long")
+    kinds = pa.schema([(c, pa.int64()) for c in ("__band", "__first", "__n", "__low", "__end")])
+    bands = spark.createDataFrame(pa.Table.from_pylist([dict(zip(kinds.names, row, strict=True)) for row in grid], kinds))  # without Python workers
     dealt = banded.join(F.broadcast(bands), "__band").withColumn("__block", F.col("__first") + F.pmod(F.xxhash64("ord"), F.col("__n")))
-    each = dealt.withColumn("__other", F.explode(F.sequence("__low", F.col("__end") - 1)))
+    each = dealt.repartition("ord").withColumn("__other", F.explode(F.sequence("__low", F.col("__end") - 1)))  # however few tasks read the rows
     cell = F.least("__block", "__other") * total + F.greatest("__block", "__other")
     cells = sum(n * (n + 1) // 2 + n * blocks.get(band + 1, 0) for band, n in blocks.items())
     return each.withColumn("__cell", cell).drop("__band", "__first", "__n", "__low", "__end"), cells
@@ -264,7 +310,8 @@ def duplicate_pairs(prints: DataFrame, min_overlap: int = 1, max_offset: int = 6
     pairs. The kept side has more pixels, then bytes, then the smaller path; the offset is negative if that is the later row.
     """
     columns = ["path", "duration_s", "file_size", "width", "height"]
-    known = prints.dropna(subset=["ord", "duration_s", "consensus_hash", "sample_fps", "hashes"])
+    whole = [F.col(c).isNotNull() for c in ("ord", "duration_s", "consensus_hash", "sample_fps", "hashes")]  # dropna would evaluate all of them once more
+    known = prints.where(reduce(and_, [*whole, ~F.isnan("duration_s"), ~F.isnan("sample_fps")]))
     rows = known.select("ord", *columns, F.col("consensus_hash").cast("long").alias("consensus_hash"), F.col("hashes").cast("array<long>").alias("hashes"), prefilter_radius(F.size("hashes")).alias("__radius"), F.col("duration_s").cast("double").alias("__d"), F.col("sample_fps").cast("double").alias("__fps"))
     dealt, cells = _dealt(rows)
     sorted_rows = dealt.repartition(max(1, min(cells, SEARCH_TASKS)), "__cell").sortWithinPartitions("__cell")
@@ -273,6 +320,6 @@ def duplicate_pairs(prints: DataFrame, min_overlap: int = 1, max_offset: int = 6
     aligned = found.where(F.col("similarity") >= required_similarity(F.col("overlap"), base))
     rank = lambda p: F.struct((F.col(f"{p}_width") * F.col(f"{p}_height")).alias("area"), F.col(f"{p}_file_size").alias("size"))
     first = (rank("a") > rank("b")) | ((rank("a") == rank("b")) & (F.col("a_path") <= F.col("b_path")))
-    side = lambda keep, c: F.when(first == keep, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
+    side = lambda keep, c: F.when(F.col("__first") == keep, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
     sides = [side(keep, c).alias(f"{who}_{name}" if name else who) for c, name in (("path", ""), ("file_size", "size"), ("duration_s", "duration_s"), ("width", "width"), ("height", "height")) for keep, who in ((True, "original"), (False, "duplicate"))]
-    return aligned.select(*sides, (F.col("similarity") * 100).alias("similarity"), F.when(first, F.col("offset")).otherwise(-F.col("offset")).cast("double").alias("offset_s"), F.col("overlap").alias("overlap_frames"))
+    return aligned.withColumn("__first", first).select(*sides, (F.col("similarity") * 100).alias("similarity"), F.when(F.col("__first"), F.col("offset")).otherwise(-F.col("offset")).cast("double").alias("offset_s"), F.col("overlap").alias("overlap_frames"))

@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from brindle import catalog_queries, queries
 from brindle.operators import similarity, summary
 
 
@@ -59,3 +62,59 @@ def test_files_of_pairs_in_one_pass(spark):
     pairs = spark.createDataFrame([("a", "b", 5, 1, 2, 3, 4, 1, 2, 3), ("a", "c", 6, 1, 2, 3, 4, 1, 2, 4)], kinds).mapInArrow(count, kinds)
     assert {tuple(r) for r in summary.largest_by_path(pairs).collect()} == {("a", 6, 6, 2), ("b", 4, 6, 1), ("c", 4, 8, 1)}
     assert seen.value == 2
+
+
+def _cell(n, durations, seed=4):
+    """Two blocks of n rows as a task gets them."""
+    rng = np.random.default_rng(seed)
+    side = np.repeat([0, 1], n)
+    h = rng.integers(0, 1 << 6, 2 * n)
+    lists = pa.ListArray.from_arrays(np.arange(0, 4 * n + 2, 2, dtype=np.int32), pa.array(rng.integers(0, 1 << 62, 4 * n)))
+    some = {c: pa.array(np.arange(2 * n)) for c in ("ord", "path")}
+    return pa.table(some | {"hashes": lists, "consensus_hash": pa.array(h), "__radius": pa.array(rng.integers(0, 3, 2 * n, dtype=np.int32)), "__d": pa.array(rng.choice(durations, 2 * n)), "__fps": pa.array(rng.choice([1.0, 1.2, 2.0], 2 * n)), "__block": pa.array(side), "__other": pa.array(1 - side), "__cell": pa.array(np.ones(2 * n, int))}).combine_chunks()
+
+
+def test_cell_is_aligned_at_once():
+    """Candidates of many parts of a block make a few batches, not one or more each."""
+    rows = _cell(1000, [600.0, 640.0, 900.0])
+    batches = list(similarity._searched(["path"], 1, 600)(iter(rows.to_batches())))
+    total = sum(b.num_rows for b in batches)
+    assert total > 20_000 and len(batches) <= total // similarity.PAIRS + 1 + total // 20_000
+
+
+def test_durations_bound_what_is_compared(monkeypatch):
+    """Rows sorted by duration meet comparable ones only: half the comparisons of a cell are of durations far apart."""
+    h, d = np.zeros(400, np.uint64), np.repeat([100.0, 1000.0], 200)
+    compared = []
+    marked = similarity._marked
+    monkeypatch.setattr(similarity, "_marked", lambda mask: compared.append(len(mask)) or marked(mask))
+    left, right = np.arange(0, 400, 2), np.arange(1, 400, 2)
+    found = list(similarity._close_pairs(h, np.ones(400, np.int32), np.arange(400), d, left, right))
+    assert sum(len(a) for a, _ in found) >= 20_000 and sum(compared) < 30_000
+
+
+def test_close_pairs_of_odd_durations():
+    """Negative, endless, unknown and tiny durations, within a block and across two, as plain comparisons find them."""
+    rng = np.random.default_rng(6)
+    for durations in ([-500.0, -60.0, 0.0, 59.9, 60.0, 120.0, 500.0, 568.0, 1e6, 1.1e6, 1.14e6], [1.0, np.inf, np.nan, 700.0]):
+        h, d, radius, order = rng.integers(0, 16, 300).astype(np.uint64), rng.choice(durations, 300), rng.integers(0, 3, 300).astype(np.int32), rng.permutation(300)
+        with np.errstate(all="ignore"):
+            near = ~(np.abs(d[:, None] - d) > np.maximum(60.0, 0.12 * np.maximum(np.maximum(d[:, None], d), 0.0)))
+        close = near & (order[:, None] < order) & (np.bitwise_count(h[:, None] ^ h) <= radius)
+        for left, right in ((np.arange(300),) * 2, (np.arange(0, 300, 3), np.setdiff1d(np.arange(300), np.arange(0, 300, 3)))):
+            split = np.zeros((300, 300), bool)
+            split[np.ix_(left, right)] = split[np.ix_(right, left)] = True
+            got = [(x, y) for a, b in similarity._close_pairs(h, radius, order, d, left, left if len(left) == 300 else right) for x, y in zip(a.tolist(), b.tolist(), strict=True) if near[x, y]]
+            assert len(got) == len(set(got)) and set(got) == set(zip(*map(np.ndarray.tolist, np.nonzero(close & split)), strict=True)) and got
+
+
+def test_signs_of_odd_vectors(spark, tmp_path):
+    """Null, short, long and unknown values have the bits that the columns of the other queries give them."""
+    rng = random.Random(8)
+    vectors = [[rng.choice([-1.0, 0.0, 1.0, None, float("nan")]) for _ in range(n)] for n in (0, 1, 7, 63, 64, 64, 70)] + [None, [1.0] * 64, [-1.0] * 64]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    bit = lambda k: F.when(F.get("embedding", F.lit(k)) > 0, 1 << k % 8).otherwise(0).cast("long")
+    words = F.array(*(sum((bit(w * 8 + i) for i in range(8)), F.lit(0)).cast("long") for w in range(8)))
+    want = spark.read.parquet(str(tmp_path / "embeddings.parquet")).select("vec_id", words, queries.sign_hash(F.col("embedding"))).collect()
+    got = catalog_queries.prints(spark, str(tmp_path)).select("ord", "hashes", "consensus_hash").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 10
