@@ -84,3 +84,29 @@ def test_masks_bound_the_similarity_of_titles(spark):
     at_most = names.jaccard_at_most(F.size(a), names.word_mask(a), F.size(b), names.word_mask(b))
     got = pairs.select(names.jaccard(F.col("a"), F.col("b")), F.coalesce(at_most, F.lit(0.0))).collect()
     assert all(x <= y <= 1 for x, y in got) and sum(y - x for x, y in got) < 0.05 * len(got)
+
+
+@pytest.mark.parametrize("least", [5.0, 16.0, 20.0, 28.0])
+def test_rows_without_an_episode_meet_by_what_can_score(spark, least):
+    """Seasons, special types and titles of up to six words, also with a least score that pairs without a common word reach."""
+    rng = random.Random(8)
+
+    def items(n):
+        some = lambda *x: rng.choice([None, *x])
+        title = lambda: " ".join(sorted({f"w{rng.randrange(8)}" for _ in range(rng.randrange(7))}))
+        return spark.createDataFrame([("f", k, some(1), some(1, 2), some("OVA", "SP"), some(1, 2), some(1), title(), some("vi", "en", "ko"), rng.random() < 0.1) for k in range(n)], KINDS)
+
+    v, s = items(250), items(220)
+    a, b = (x.select(*(F.col(c).alias(p + c) for c in x.columns)) for x, p in ((v, "v_"), (s, "s_")))
+    want = a.crossJoin(b).withColumn("score", matching.match_score()).where(F.col("score") >= least).select("v_id", "s_id", "score").collect()
+    got = matching.scored_candidates(v, s, least=least).select("v_id", "s_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 1000
+
+
+def test_titles_meet_by_their_words(spark):
+    """144 million pairs without an episode in a folder, of which 12,000 have the same title: testing each pair takes minutes."""
+    items = lambda episode: spark.range(12_000).select(F.lit("f").alias("folder"), "id", episode.cast("int").alias("episode"), *(F.lit(None).cast(k).alias(c) for c, k in (("season", "int"), ("special_type", "string"))), F.lit(1).alias("part"), F.lit(None).cast("int").alias("cour"), F.concat_ws(" ", F.concat(F.lit("a"), "id"), F.concat(F.lit("b"), "id")).alias("title_key"), F.lit("vi").alias("language"), F.lit(False).alias("is_batch"))
+    began = time.time()
+    got = matching.scored_candidates(items(F.lit(None)), items(F.lit(3))).select("v_id", "s_id", "score").collect()
+    assert sorted(map(tuple, got)) == [(k, k, 25.0) for k in range(12_000)]
+    assert time.time() - began < 60
