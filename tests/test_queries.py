@@ -52,6 +52,18 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_parts_of_a_brand_match_whatever_their_type(spark, duck, tmp_path):
+    """All pairs of a brand that score enough: of one type or two, without a type, with negative keys."""
+    rows = [(k, n, b, t, s, 1.0) for k, n, b, t, s in [
+        (2, "red bolt", "x", "SMALL", 7), (1, "red bolt", "x", "SMALL", 7), (3, "old gear", "x", "PROMO", 7), (9, "old gear", "x", None, 7), (-3, "red bolt", "x", "PROMO", 7),
+        (-9, "red bolt", "x", "SMALL", 7), (5, "red bolt", "x", "SMALL", 8), (11, "red bolt", "y", "SMALL", 7), (15, "red bolt", None, "SMALL", 7), (4, "red bolt", None, "SMALL", 7),
+    ]]
+    spark.createDataFrame(rows, spark.read.parquet(f"{SF}/part.parquet").schema).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["scored_match"](spark, str(tmp_path)).collect())
+    assert [r[:3] for r in got] == [("x", 2, k) for k in (-9, -3, 3, 9)]
+    assert got == sorted(duck.execute(SQL["scored_match"].replace("FROM part)", f"FROM '{tmp_path}/part.parquet/*.parquet')")).fetchall())
+
+
 def test_greedy_by_brute_force(spark):
     """Best first; a pair with a free rival within three points is reported and not taken."""
     sf = SF.replace("0.001", "0.01")
